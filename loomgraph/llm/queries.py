@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe_counts, packing
+from loomgraph.llm import bpe_counts, curves, digests, language, licenses, minhash, mixing, packing, toxicity, warc
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -32,3 +32,43 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
     return packing.pack_documents(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), fast_vocabulary=path("byte_bpe_50k.tiktoken"))
+
+
+@register
+def op1_shifted_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@register
+def op2_bucket_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
+@register
+def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+@register
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
+@register
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(read(spark, sf_dir, "pages"))
+
+
+@register
+def op8_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+@register
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@register
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(read(spark, sf_dir, "documents"))
