@@ -8,6 +8,7 @@ band key equals a template's is a candidate, and the template's shingles are the
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.llm.storage import store
@@ -92,7 +93,8 @@ def scan_licenses(docs: DataFrame, *, templates: dict[str, list[str]] | None = N
 
     ``containment`` is the largest share, over the license's notices, of the notice's two-word shingles that the
     document has around the windows which retrieved it (each part of a long notice where it fits best); ``first_word``
-    is the place of the first such window, ``n_places`` how many there are. Null, empty and one-word texts hold none.
+    is the place of the first such window, ``n_places`` how many there are. Where several notices fit one window, those
+    that fit it best count (ties: all). Null, empty and one-word texts hold none.
     A row for each row of ``docs`` and license: repeated rows of one id meet in one. Rows without an id are left out.
     Other columns are ignored; no rows in, none out.
 
@@ -113,8 +115,10 @@ def scan_licenses(docs: DataFrame, *, templates: dict[str, list[str]] | None = N
     keyed = windows.select("id", "w.start", "w.around", _keys(F.col("w.hashes")).alias("keys")).where(F.arrays_overlap("keys", all_keys))
     found = keyed.select("id", "start", "around", F.explode(F.array_distinct("keys")).alias("key"))
     known = F.broadcast(chunks.select("license", "notice", "chunk", _grams(F.col("tokens")).alias("grams"), F.explode(F.array_distinct("keys")).alias("key")))
-    share = F.size(F.array_intersect("grams", _grams(F.col("around"))))
-    places = found.join(known, "key").groupBy("id", "start", "license", "notice", "chunk").agg(F.max(share).alias("hits"))
+    hits = F.size(F.array_intersect("grams", _grams(F.col("around"))))
+    places = found.join(known, "key").groupBy("id", "start", "license", "notice", "chunk").agg(F.max(hits).alias("hits"), F.max(hits / F.size("grams")).alias("fit"))
+    # notices that differ by a version or a clause fit the same place: the one that fits it best stands there
+    places = places.withColumn("top", F.max("fit").over(W.partitionBy("id", "start"))).where("fit = top")
     best = places.groupBy("id", "license", "notice", "chunk").agg(F.max("hits").alias("hits"), F.min("start").alias("first_word"), F.count(F.lit(1)).alias("n"))
     sizes = chunks.groupBy("license", "notice").agg(F.sum(F.size(_grams(F.col("tokens")))).alias("size"))
     notices = best.groupBy("id", "license", "notice").agg(F.sum("hits").alias("hits"), F.min("first_word").alias("first_word"), F.sum("n").alias("n"))

@@ -87,7 +87,7 @@ def mix(
     chances = store(calibrate(raked, budget).select(*AXES, "probability"), "mix-chances").frame
     draw = (F.conv(F.substring(F.sha2(F.coalesce(F.col(id_col).cast("string"), F.lit("")), 256), 1, 12), 16, 10).cast("double")) / F.lit(float(1 << 48))
     out = rows.join(chances, [*AXES], "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
-    return out.select(id_col, *AXES, "tokens", "probability", (draw < F.col("probability")).alias("kept"), *(F.col(f"kept_{c}").alias(c) for c in kept))
+    return out.select(id_col, *AXES, "tokens", F.round("probability", 9).alias("probability"), (draw < F.col("probability")).alias("kept"), *(F.col(f"kept_{c}").alias(c) for c in kept))
 
 
 def calibrate(cells: DataFrame, budget: float) -> DataFrame:
@@ -104,3 +104,32 @@ def calibrate(cells: DataFrame, budget: float) -> DataFrame:
     c = c.withColumn("c", (F.col("all") * budget - F.col("spent")) / F.col("left"))
     c = c.withColumn("scale", F.coalesce(F.first(F.when(F.col("c") * F.col("ratio") <= 1, F.col("c")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), F.lit(float("inf"))))
     return c.withColumn("probability", F.least(F.lit(1.0), F.col("scale") * F.col("ratio")))
+
+
+def oracle_sql(rounds: int = ROUNDS, budget: float = BUDGET) -> str:
+    """The DuckDB statement for ``mix`` with default parameters over ``documents``."""
+    steps, at = [], "c0"
+    for r in range(rounds):
+        for axis in AXES:
+            new = f"c{r}_{axis}"
+            steps.append(f"{new} AS MATERIALIZED (SELECT source, lang, topic, t, w * s.share / sum(w) OVER (PARTITION BY {axis}) AS w FROM {at} JOIN share_{axis} s USING ({axis}))")
+            at = new
+    shares = ", ".join(f"share_{a} AS MATERIALIZED (SELECT {a}, p / sum(p) OVER () AS share FROM (SELECT {a}, pow(sum(t)::DOUBLE, {POWERS[a]}) AS p FROM cells WHERE t > 0 GROUP BY {a}))" for a in AXES)
+    return rf"""
+WITH texts AS (SELECT *, coalesce(text, '') AS x, greatest(length(coalesce(text, '')), 1) AS size FROM documents),
+docs AS (SELECT doc_id, coalesce(source, '{UNKNOWN}') AS source, coalesce(lang, '{UNKNOWN}') AS lang, len(regexp_extract_all(x, '\S+'))::BIGINT AS tokens,
+  CASE WHEN (length(x) - length(replace(x, '|', ''))) * 50 > size THEN 'table'
+       WHEN (2 * length(x) - length(replace(x, '{{', '')) - length(replace(x, ';', ''))) * 100 > size THEN 'code'
+       WHEN (length(x) - length(replace(x, chr(10), ''))) * 25 > size THEN 'listing'
+       WHEN contains(x, '@') THEN 'records' ELSE 'prose' END AS topic FROM texts),
+cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS t FROM docs GROUP BY ALL), {shares},
+c0 AS MATERIALIZED (SELECT source, lang, topic, t, t / sum(t) OVER () AS w FROM cells WHERE t > 0),
+{", ".join(steps)},
+r AS MATERIALIZED (SELECT source, lang, topic, t, w / t AS ratio FROM {at}),
+b AS (SELECT *, row_number() OVER o AS i, coalesce(sum(t) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
+  sum(ratio * t) OVER () - coalesce(sum(ratio * t) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(t) OVER () AS total FROM r WINDOW o AS (ORDER BY ratio DESC, source, lang, topic)),
+k AS (SELECT *, (total * {budget} - spent) / rest AS c FROM b),
+chance AS (SELECT source, lang, topic, least(1.0, ratio * (SELECT c FROM k WHERE c * ratio <= 1 ORDER BY i LIMIT 1)) AS p FROM k)
+SELECT doc_id, source, lang, topic, tokens, round(coalesce(p, 1.0), 9) AS probability,
+  ('0x' || substr(sha256(doc_id::VARCHAR), 1, 12))::BIGINT / 281474976710656.0 < coalesce(p, 1.0) AS kept
+FROM docs LEFT JOIN chance USING (source, lang, topic)"""

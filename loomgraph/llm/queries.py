@@ -72,3 +72,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(read(spark, sf_dir, "documents"))
+
+
+LLM_ORACLES["op8_raked_mixture"] = mixing.oracle_sql()
