@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def clean(c: Column) -> Column:
@@ -39,7 +40,7 @@ def _jaro(s: str, t: str) -> float:
     return (m / len(s) + m / len(t) + (m - half) / m) / 3
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro with 0.1 for each of up to four equal leading characters, whatever the Jaro value."""
 

@@ -8,19 +8,20 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
 def unicode_normalize(form: str = "NFC"):
     """An Arrow UDF: the engine has no built-in for Unicode normal forms."""
 
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def normal(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else unicodedata.normalize(form, t))
 
     return normal
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def strip_diacritics(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
 
@@ -118,7 +119,11 @@ STOPWORDS = {
 def detect_language(c: Column, default: str = "en") -> Column:
     """The language with most stop words among the text's; texts under ten characters and ties without any: the default."""
     tokens = F.split(F.lower(c), r"[^\p{L}]+")
-    n = {g: F.size(F.filter(tokens, lambda t, w=w: t.isin(*w))) for g, w in STOPWORDS.items()}
+
+    def known(words: tuple[str, ...]):
+        return lambda t: t.isin(*words)
+
+    n = {g: F.size(F.filter(tokens, known(w))) for g, w in STOPWORDS.items()}
     top = F.greatest(*n.values())
     found = F.coalesce(*(F.when(v == top, F.lit(g)) for g, v in n.items()))
     return F.when((F.length(F.trim(c)) < 10) | (top == 0), F.lit(default)).otherwise(found)

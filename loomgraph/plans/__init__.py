@@ -1,0 +1,3 @@
+"""Query plans over the standard tables; importing a module registers its queries."""
+
+from loomgraph.plans import graphs, relational, resolution, rules, streams, temporal, texts, vectors  # noqa: F401
