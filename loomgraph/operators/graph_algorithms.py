@@ -230,7 +230,7 @@ def clique_communities(edges: DataFrame) -> DataFrame:
     e = simple_pairs(edges)
     ab, bc, ac = e.select(F.col("src").alias("a"), F.col("dst").alias("b")), e.select(F.col("src").alias("b"), F.col("dst").alias("c")), e.select(F.col("src").alias("a"), F.col("dst").alias("c"))
     found = cut(ab.join(bc, "b").join(ac, ["a", "c"]).select(F.concat_ws("|", "a", "b", "c").alias("id"), "a", "b", "c"))
-    sides = found.select("id", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct("b", "c"), F.struct("a", "c"))).alias("e"))
+    sides = found.select("id", F.explode(F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("a", "b"), ("b", "c"), ("a", "c"))))).alias("e"))
     star = sides.groupBy("e").agg(F.min("id").alias("dst"))
     links = sides.join(star, "e").select(F.col("id").alias("src"), "dst")
     groups = connected_components(found.select("id"), links)

@@ -99,13 +99,13 @@ def neighborhood_with_decay(spark, d):
 
 def _distance_sql(rounds: int) -> str:
     steps = ["d0 AS MATERIALIZED (SELECT 0 AS id, 0.0::DOUBLE AS distance)"]
-    steps += [f"d{i + 1} AS MATERIALIZED (SELECT id, min(distance) AS distance FROM (SELECT * FROM d{i} UNION ALL SELECT e.dst, distance + weight FROM d{i} JOIN edges e ON e.src = d{i}.id) GROUP BY id)" for i in range(rounds)]
-    return ", " + ", ".join(steps) + f" SELECT id, round(distance, 6) AS distance FROM d{rounds}"
+    steps += [f"d{i + 1} AS MATERIALIZED (SELECT id, min(distance) AS distance FROM (SELECT * FROM d{i} UNION ALL SELECT e.dst, distance + weight FROM d{i} JOIN both_ways e ON e.src = d{i}.id) GROUP BY id)" for i in range(rounds)]
+    return ", both_ways AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges), " + ", ".join(steps) + f" SELECT id, round(distance, 6) AS distance FROM d{rounds}"
 
 
 @query(TRADE + _distance_sql(12))
 def dijkstra_distances(spark, d):
-    return G.shortest_distances(trade_graph(spark, d).edges, 0).select("id", F.round("distance", 6).alias("distance"))
+    return G.shortest_distances(trade_graph(spark, d).edges, 0, directed=False).select("id", F.round("distance", 6).alias("distance"))
 
 
 @query("WITH RECURSIVE " + TRADE_SQL + ", walk AS (SELECT id AS origin, id, 0 AS hops FROM nodes UNION SELECT w.origin, e.dst, hops + 1 FROM walk w JOIN und e ON e.src = w.id WHERE hops < 4) SELECT origin, id, min(hops) AS hops FROM walk GROUP BY ALL")
