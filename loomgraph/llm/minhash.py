@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from loomgraph.llm.components import components
 from loomgraph.llm.storage import store
 
-COORDINATES, BANDS = 128, 32
-#: Candidates whose signatures agree on less than this share of their coordinates aren't confirmed: seven standard
-#: deviations under a true similarity of 0.8.
-LEAST_AGREEMENT = 0.55
-#: Buckets up to this size are compared pair by pair between components; larger ones are split by more coordinates.
-SMALL_BUCKET = 32
+COORDINATES, BANDS = 288, 48
+#: Candidates whose signatures agree on a share of their coordinates that is this much under the similarity asked for
+#: aren't confirmed: at 0.8, five standard deviations (288 coordinates, one byte each).
+SLACK = 0.12
+#: Buckets up to this size are compared between components in one task; larger ones are split by more coordinates.
+TASK_BUCKET = 4096
+#: Up to so many document ids (8 bytes each) are broadcast to pick texts to confirm; beyond it they are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 #: Word hashes that a worker remembers.
 MEMO_ENTRIES = 300_000
 
@@ -122,22 +124,27 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
                     s = signature(found)
                     digest.append(xxhash.xxh3_128_digest(found.tobytes()))
                     bands.append(band_keys(s))
-                    sig.append(s.astype("<u2").tobytes())
+                    sig.append(s.astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["id", "n", "digest", "bands", "sig"])
 
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, n bigint, digest binary, bands array<bigint>, sig binary")
 
 
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of equal coordinates; ``a`` and ``b`` broadcast against each other."""
+    return (a == b).mean(axis=-1)
+
+
 def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int, kind: str) -> DataFrame:
     """Pairs ``u, v`` whose sizes allow the similarity and whose signatures come near it."""
-    few = reps.select("id", "n", "sig")
-    left = few.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("su"))
-    right = few.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("sv"))
-    sized = pairs.join(left, "u").join(right, "v").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
+    sizes, sigs, least = reps.select("id", "n"), reps.select("id", "sig"), percent / 100 - SLACK
+    sized = pairs.join(sizes.select(F.col("id").alias("u"), F.col("n").alias("nu")), "u").join(sizes.select(F.col("id").alias("v"), F.col("n").alias("nv")), "v")
+    sized = sized.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent).select("u", "v")
+    sized = sized.join(sigs.select(F.col("id").alias("u"), F.col("sig").alias("su")), "u").join(sigs.select(F.col("id").alias("v"), F.col("sig").alias("sv")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = [(np.frombuffer(x, "<u2") == np.frombuffer(y, "<u2")).mean() >= LEAST_AGREEMENT for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            near = [_agreement(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
 
     return sized.select("u", "v", "su", "sv").mapInArrow(run, f"u {kind}, v {kind}")
@@ -148,30 +155,70 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, kin
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "set"])
+            for at in range(0, b.num_rows, 500):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), pa.array([shingles(t, words).tobytes() for t in b.column(1).slice(at, 500).to_pylist()], pa.binary())], names=["id", "set"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = [jaccard_at_least(np.frombuffer(x, _U64), np.frombuffer(y, _U64), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            good = [jaccard_at_least(np.frombuffer(x.as_buffer(), _U64), np.frombuffer(y.as_buffer(), _U64), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    found = texts.join(wanted, "id", "left_semi").mapInArrow(sets, f"id {kind}, set binary")
-    left, right = (found.select(F.col("id").alias(x), F.col("set").alias(s)) for x, s in (("u", "su"), ("v", "sv")))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(check, f"u {kind}, v {kind}")
+    wanted = store(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "minhash-wanted").frame
+    few = wanted.count() <= BROADCAST_IDS
+    found = texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInArrow(sets, f"id {kind}, set binary")
+    found = store(found, "minhash-sets")
+    left, right = (found.frame.select(F.col("id").alias(x), F.col("set").alias(s)) for x, s in (("u", "su"), ("v", "sv")))
+    links = store(pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(check, f"u {kind}, v {kind}"), "minhash-links").frame
+    found.drop()
+    return links
+
 
+def _stars(members: DataFrame) -> DataFrame:
+    """Each member (key, id) of a bucket with the bucket's least id."""
+    least = members.groupBy("key").agg(F.min("id").alias("v"))
+    return members.join(least, "key").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
 
-def _stars(buckets: DataFrame) -> DataFrame:
-    """Each member of a bucket with the bucket's least id. ``buckets``: key, id."""
-    least = buckets.groupBy("key").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    return buckets.join(least, "key").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
 
+def _shared(buckets: DataFrame) -> DataFrame:
+    """Members (key, id) of buckets that hold more than one."""
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    return buckets.join(sizes, "key")
 
-def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, id, label, size) of the buckets of three or more that hold several components."""
-    named = buckets.join(labels.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+def _mixed(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+    """Members (key, id, label, size, n, sig) of the buckets of three or more that hold several components."""
+    named = members.join(labels.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = store(named, "minhash-named").frame
     mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("size > 2 AND lo <> hi")
-    return named.join(mixed.select("key", "size"), "key")
+    return named.join(mixed.select("key", "size"), "key").join(reps.select("id", "n", "sig"), "id")
+
+
+def _across(mixed: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Pairs ``u, v`` of different components of a bucket whose sizes and signatures allow the similarity.
+
+    A bucket (at most ``TASK_BUCKET`` members, about 300 bytes each) is compared in one task, a block of rows at a time;
+    the members of its largest component are compared with the others only.
+    """
+    least = percent / 100 - SLACK
+
+    def run(bucket: pa.Table) -> pa.Table:
+        ids, label, n = (bucket.column(c).to_numpy() for c in ("id", "label", "n"))
+        sig = np.frombuffer(b"".join(bucket.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        _, code, sizes = np.unique(label, return_inverse=True, return_counts=True)
+        outside = np.flatnonzero(code != sizes.argmax())
+        us, vs = [], []
+        step = max(1, 40_000_000 // (sig.shape[1] * len(ids)))
+        for at in range(0, len(outside), step):
+            i = outside[at : at + step]
+            fits = (code[i, None] != code[None, :]) & (np.minimum(n[i, None], n[None, :]) * 100 >= percent * np.maximum(n[i, None], n[None, :]))
+            x, y = np.nonzero(fits & (_agreement(sig[i, None], sig[None]) >= least))
+            us.append(ids[i[x]])
+            vs.append(ids[y])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        kind_ = bucket.schema.field("id").type
+        return pa.table({"u": pa.array(np.where(u > v, u, v), kind_), "v": pa.array(np.where(u > v, v, u), kind_)})
+
+    return mixed.select("key", "id", "label", "n", "sig").groupBy("key").applyInArrow(run, f"u {kind}, v {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,59 +232,55 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     Documents with equal sets (a group of copies may hold a third of all rows) meet first, in a pre-aggregated
     group-by, and only one of them goes on. A bucket links its members to its least one, so a bucket of m members
     gives m pairs, not m * m. What can remain are links between components that share a bucket but not its least
-    member; small mixed buckets are compared between components, large ones are first split by further signature
-    coordinates (a similar pair stays together in some part, and all parts of all its shared buckets must lose it for
-    it to be missed). With 32 bands of four, a pair of similarity 0.8 shares no bucket with probability 5e-8.
+    member: buckets that still hold several components are compared by signature inside a task, which emits only
+    pairs that come near the similarity; a bucket too large for a task is first split by further signature coordinates
+    (a similar pair stays together in some part, and all parts of all its shared buckets must lose it for it to be
+    missed). With 48 bands of six, a pair of similarity 0.8 shares no bucket with probability 5e-7.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     sketches = store(sketch(docs, words, id_col, text_col), "minhash").frame
     linkable = sketches.where("n > 0 AND id IS NOT NULL")
     reps = store(linkable.groupBy("digest").agg(F.min_by(F.struct("id", "n", "bands", "sig"), "id").alias("r")).select("digest", "r.*"), "minhash-reps").frame
     same = linkable.select("digest", F.col("id").alias("u")).join(reps.select("digest", F.col("id").alias("v")), "digest").where("u <> v").select("u", "v")
-    buckets = reps.select("id", F.explode("bands").alias("key"))
+    members = store(_shared(reps.select("id", F.explode("bands").alias("key"))), "minhash-members").frame
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         near = store(_agreeing(pairs, reps, percent, kind), "minhash-near").frame
-        return store(_confirmed(near, texts, words, percent, kind), "minhash-links").frame
+        return _confirmed(near, texts, words, percent, kind)
 
-    links = same.union(confirm(_stars(buckets)))
+    links = same.union(confirm(_stars(members)))
     labels = components(links)
     for level in range(3):
-        mixed = store(_mixed(buckets, labels.frame), "minhash-mixed").frame
-        if mixed.isEmpty():
-            break
-        small = mixed if level == 2 else mixed.where(F.col("size") <= SMALL_BUCKET)
-        other = small.select("key", F.col("id").alias("v"), F.col("label").alias("other"))
-        pairs = small.select("key", F.col("id").alias("u"), "label").join(other, "key").where("u > v AND label <> other").select("u", "v").distinct()
-        large = mixed.where(F.col("size") > SMALL_BUCKET)
+        mixed = store(_mixed(members, labels.frame, reps), "minhash-mixed").frame
+        large = mixed.where(F.col("size") > TASK_BUCKET).select("key", "id", "sig")
         split = level < 2 and not large.isEmpty()
+        pairs = _across(mixed.where(F.col("size") <= TASK_BUCKET) if split else mixed, percent, kind)
         if split:
-            buckets = store(_split(large.select("key", "id"), reps, level, kind), "minhash-split").frame
-            pairs = pairs.union(_stars(buckets)).distinct()
+            members = store(_shared(_split(large, level, kind)), "minhash-split").frame
+            pairs = pairs.union(_stars(members)).distinct()
         links = links.union(confirm(pairs))
-        labels = components(links.union(labels.frame))
+        labels = components(links)
         if not split:
             break
-    placed = sketches.select("id", "n").join(labels.frame.select(F.col("u").alias("id"), F.col("v").alias("component_id")).distinct(), "id", "left")
+    placed = sketches.select("id", "n").join(labels.frame.select(F.col("u").alias("id"), F.col("v").alias("component_id")), "id", "left")
     component = F.coalesce("component_id", "id")
     return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def _split(members: DataFrame, reps: DataFrame, level: int, kind: str) -> DataFrame:
-    """Members of large buckets under longer keys: the old key with each of sixteen groups of eight coordinates."""
+def _split(members: DataFrame, level: int, kind: str) -> DataFrame:
+    """Members (key, id, sig) of large buckets under longer keys: the old key with each of 24 groups of twelve coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = np.random.default_rng(level).permutation(COORDINATES)
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = np.stack([np.frombuffer(x, "<u2") for x in b.column(2).to_pylist()])[:, turn].reshape(b.num_rows, 16, 8).astype(_U64)
-            key = np.asarray(b.column(0)).view(_U64)[:, None] + np.arange(1, 17, dtype=_U64)
-            for j in range(8):
+            sig = np.stack([np.frombuffer(x, np.uint8) for x in b.column(2).to_pylist()])[:, turn].reshape(b.num_rows, 24, 12).astype(_U64)
+            key = np.asarray(b.column(0)).view(_U64)[:, None] + np.arange(1, 25, dtype=_U64)
+            for j in range(12):
                 key = _mix64(key * _U64(0x9E3779B97F4A7C15) + sig[:, :, j])
-            index = np.repeat(np.arange(b.num_rows), 16)
+            index = np.repeat(np.arange(b.num_rows), 24)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), b.column(1).take(pa.array(index))], names=["key", "id"])
 
-    joined = members.join(reps.select("id", "sig"), "id").select("key", "id", "sig")
-    return joined.mapInArrow(run, f"key bigint, id {kind}")
+    return members.mapInArrow(run, f"key bigint, id {kind}")
