@@ -11,6 +11,7 @@ share of toxic documents.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,17 +23,23 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.sampling import drawn, fold, rates, trimmed
 
-BUCKETS, DIM, WINDOW = 1 << 17, 8, 8
+BUCKETS, DIM, WINDOW, WORST = 1 << 17, 8, 2, 4
 #: Most labelled documents that training takes, toxic and other.
 SAMPLE = {1: 3000, 0: 4000}
-ROUNDS, STEPS, RATE, DECAY = 8, 10, 0.05, 1e-5
+ROUNDS, STEPS, RATE, DECAY = 8, 10, 0.05, 3e-5
+#: Documents' worth of doubt about an n-gram that is picked by.
+PRIOR = 4.0
 #: Distinct words whose scores a worker remembers, in two generations.
 MEMO_ENTRIES = 400_000
 
 
+#: Marks that may stand around a word.
+MARKS = "\"'`.,;:!?()[]{}<>*&%$#@|/\\-_+=~^"
+
+
 def grams(token: str) -> list[int]:
     """Buckets of a token: the stripped word and its n-grams of three to five characters between marks."""
-    word = token.strip("\"'`.,;:!?()[]{}<>*&%$#@|/\\-_+=~^")
+    word = token.strip(MARKS)
     if not word:
         return []
     w = f"<{word[:40]}>"
@@ -42,27 +49,31 @@ def grams(token: str) -> list[int]:
 
 @dataclass
 class Model:
-    """What scoring needs: each bucket's share of the logit, the softmax's offset and the calibration."""
+    """What scoring needs: each bucket's share of the logit, the calibration and what a text without words has."""
 
     weights: np.ndarray
-    offset: float
-    slope: float
+    slopes: np.ndarray
     shift: float
+    floor: np.ndarray
 
     def score(self, text: str, memo: dict) -> float:
         tokens = text.lower().split()
         s = np.fromiter(map(memo.__getitem__, tokens), np.float64, len(tokens))
-        return float(_sigmoid(self.slope * (_worst(s[~np.isnan(s)]) + self.offset) + self.shift))
+        s = s[~np.isnan(s)]
+        return float(_sigmoid((_worst(s) if len(s) else self.floor) @ self.slopes + self.shift))
+
 
+def _passages(s: np.ndarray) -> np.ndarray:
+    """Means of each ``WINDOW`` words (the last passage may be shorter)."""
+    starts = np.arange(0, len(s), WINDOW)
+    return np.add.reduceat(s, starts) / np.minimum(WINDOW, len(s) - starts)
 
-def _worst(s: np.ndarray) -> float:
-    """The largest mean over ``WINDOW`` neighbouring words; of all words, if they are fewer; 0 of none."""
-    if not len(s):
-        return 0.0
-    if len(s) <= WINDOW:
-        return float(s.sum()) / WINDOW if len(s) >= WINDOW // 2 else float(s.mean()) * 0.5
-    c = np.concatenate(([0.0], np.cumsum(s)))
-    return float((c[WINDOW:] - c[:-WINDOW]).max()) / WINDOW
+
+def _worst(s: np.ndarray) -> np.ndarray:
+    """The largest passage and the mean of the ``WORST`` largest (all, if fewer)."""
+    p = _passages(s)
+    top = np.partition(p, len(p) - WORST)[-WORST:] if len(p) > WORST else p
+    return np.array([top.max(), top.mean()])
 
 
 def _sigmoid(x):
@@ -95,39 +106,50 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     y = np.array(toxic, np.int64)
     if not len(y) or y.min() == y.max():
         level = 30.0 if len(y) and y[0] else -30.0
-        return Model(np.zeros(BUCKETS), 0.0, 0.0, level)
+        return Model(np.zeros(BUCKETS), np.zeros(2), level, np.zeros(2))
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
     docs = []
     for t in texts:
-        words = [w for w in t.lower().split() if w.strip("\"'`.,;:!?()[]{}<>*&%$#@|/\\-_+=~^")]
-        docs.append(np.array([vocab.setdefault(w, len(vocab)) for w in words], np.int64))
-    per_word = [grams(w) for w in vocab]
-    index = np.array([g for gs in per_word for g in gs], np.int64)
-    starts = np.concatenate(([0], np.cumsum([len(g) for g in per_word])[:-1])).astype(np.int64)
-    table = (rng.normal(size=(BUCKETS, DIM)) / DIM).astype(np.float32)
-    soft, bias = (rng.normal(size=DIM) * 0.1).astype(np.float32), 0.0
+        words = [w for w in t.lower().split() if w.strip(MARKS)]
+        docs.append(np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int32, len(words)))
+    flat_grams, counts = array("i"), array("i")
+    for w in vocab:
+        g = grams(w)
+        flat_grams.extend(g)
+        counts.append(len(g))
+    del vocab
+    index, sizes = np.frombuffer(flat_grams, np.int32), np.frombuffer(counts, np.int32)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     # Adam, over the buckets that occur
-    used, index = np.unique(index, return_inverse=True)
-    table = table[used]
+    used = np.flatnonzero(np.bincount(index, minlength=BUCKETS))
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    index = place[index]
+    del flat_grams
+    # the first passages are picked by how much oftener toxic documents hold their n-grams
+    seen = np.zeros((2, len(used)))
+    for d, k in zip(docs, y, strict=True):
+        if len(d):
+            seen[k, np.unique(np.concatenate([index[starts[w] : starts[w] + sizes[w]] for w in np.unique(d)]))] += 1
+    share = np.array([[(y == 0).mean()], [(y == 1).mean()]])
+    odds = np.log((seen[1] + PRIOR * share[1]) / share[1]) - np.log((seen[0] + PRIOR * share[0]) / share[0])
+    table = (rng.normal(size=(len(used), DIM)) / DIM).astype(np.float32)
+    soft, bias = (rng.normal(size=DIM) * 0.1).astype(np.float32), 0.0
     moments = [np.zeros_like(table), np.zeros_like(table), np.zeros(DIM), np.zeros(DIM), 0.0, 0.0]
-    sizes = np.diff(np.append(starts, len(index)))
     step = 0
     filled = [i for i, d in enumerate(docs) if len(d)]
     for r in range(ROUNDS):
-        logit = np.add.reduceat((table @ soft)[index], starts) / sizes
+        logit = np.add.reduceat((table @ soft if r else odds)[index], starts) / sizes
         picked, label = [], []
         for i in filled:
             d = docs[i]
-            n = max(1, len(d) - WINDOW + 1)
-            if r == 0:
-                at = rng.integers(0, n, 6 if y[i] else 3)
-            else:
-                c = np.concatenate(([0.0], np.cumsum(logit[d])))
-                s = c[WINDOW:] - c[:-WINDOW] if len(d) >= WINDOW else np.zeros(1)
-                at = np.array([int(s.argmax())]) if y[i] else np.unique([int(s.argmax()), *rng.integers(0, n, 2)])
+            p = _passages(logit[d])
+            order = np.argsort(-p, kind="stable")[:WORST]
+            # a toxic document's worst passage, and others that the model holds toxic; any document's worst two and two more
+            at = order[: 1 + int((p[order[1:]] + bias > 0).sum() if r else 0)] if y[i] else np.unique([*order[:2], *rng.integers(0, len(p), 2)])
             for a in at:
-                w = d[a : a + WINDOW]
+                w = d[WINDOW * a : WINDOW * (a + 1)]
                 picked.append(np.pad(w, (0, WINDOW - len(w)), constant_values=-1))
                 label.append(y[i])
         windows, target = np.stack(picked), np.array(label, np.float64)
@@ -167,25 +189,27 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
                     bias = float(bias - move)
     weights = np.zeros(BUCKETS)
     weights[used] = table @ soft
-    model = Model(weights, bias, 1.0, 0.0)
     memo = _Memo(weights)
-    worst = np.array([_worst(np.array([s for s in map(memo.__getitem__, t.lower().split()) if s == s])) for t in texts]) + bias
-    model.slope, model.shift = _calibrate(worst, y)
-    return model
+    found = [_worst(x) if len(x) else np.full(2, np.nan) for x in (np.array([s for s in map(memo.__getitem__, t.lower().split()) if s == s]) for t in texts)]
+    x = np.array(found)
+    floor = np.nanmedian(x[y == 0], axis=0) if np.isfinite(x[y == 0]).any() else np.zeros(2)
+    slopes, shift = _calibrate(np.where(np.isnan(x), floor, x), y)
+    return Model(weights, slopes, shift, floor)
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve by Newton steps, on smoothed targets; the scale of ``x`` bounds the slope."""
-    scale = float(np.std(x)) or 1.0
-    z = np.stack([x / scale, np.ones(len(x))], axis=1)
+def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and shift of a logistic curve by damped Newton steps, on smoothed targets."""
+    centre, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    z = np.column_stack([(x - centre) / scale, np.ones(len(x))])
     n1, n0 = y.sum(), len(y) - y.sum()
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    w = np.zeros(2)
-    for _ in range(30):
+    w = np.zeros(z.shape[1])
+    for _ in range(40):
         p = _sigmoid(z @ w)
-        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
-        w = w - np.clip(np.linalg.solve(h, z.T @ (p - t) + 1e-3 * w), -2, 2)
-    return float(w[0] / scale), float(w[1])
+        h = (z * (p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(len(w))
+        w = w - np.clip(np.linalg.solve(h, z.T @ (p - t) + 0.1 * w), -1, 1)
+    slopes = w[:-1] / scale
+    return slopes, float(w[-1] - slopes @ centre)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, folds: int = 5, sample: dict[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -206,8 +230,8 @@ def train(docs: DataFrame, labels: DataFrame, *, folds: int = 5, sample: dict[in
 def score_documents(docs: DataFrame, model: Model, *, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``id, held_out, score, predicted`` (and the columns of ``keep``) for every row of ``docs``.
 
-    Scores lie in [0, 1] and follow from the text alone; null and empty texts, and texts without a word, score as a
-    passage of logit 0 does. Repeated rows each give a row. One narrow pass; the model (1 MB, whatever the corpus) is
+    Scores lie in [0, 1] and follow from the text alone; null and empty texts, and texts without a word, score as the
+    middle one of the clean training documents. Repeated rows each give a row. One narrow pass; the model (1 MB, whatever the corpus) is
     broadcast.
     """
     spark = docs.sparkSession
