@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.components import components
-from loomgraph.llm.storage import store
+from loomgraph.llm.storage import Stored, store
 
 COORDINATES, BANDS = 288, 48
 #: Candidates whose signatures agree on a share of their coordinates that is this much under the similarity asked for
 #: aren't confirmed: at 0.8, five standard deviations (288 coordinates, one byte each).
 SLACK = 0.12
 #: Buckets up to this size are compared between components in one task; larger ones are split by more coordinates.
-TASK_BUCKET = 4096
+TASK_BUCKET = 2048
 #: Up to so many document ids (8 bytes each) are broadcast to pick texts to confirm; beyond it they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Word hashes that a worker remembers.
@@ -150,23 +150,28 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int, kind: str) -> Dat
     return sized.select("u", "v", "su", "sv").mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, kind: str) -> DataFrame:
-    """Pairs whose full shingle sets have the similarity. ``texts`` (id, text) is read for the pairs' documents only."""
+def _sets(ids: DataFrame, texts: DataFrame, words: int, kind: str) -> Stored:
+    """``id, set``: the full shingle sets of the documents in ``ids``. ``texts`` (id, text) is shuffled only if they are many."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), pa.array([shingles(t, words).tobytes() for t in b.column(1).slice(at, 500).to_pylist()], pa.binary())], names=["id", "set"])
 
+    wanted = store(ids.select("id").distinct(), "minhash-wanted").frame
+    few = wanted.count() <= BROADCAST_IDS
+    return store(texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInArrow(run, f"id {kind}, set binary"), "minhash-sets")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, kind: str) -> DataFrame:
+    """Pairs whose full shingle sets have the similarity."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = [jaccard_at_least(np.frombuffer(x.as_buffer(), _U64), np.frombuffer(y.as_buffer(), _U64), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    wanted = store(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "minhash-wanted").frame
-    few = wanted.count() <= BROADCAST_IDS
-    found = texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInArrow(sets, f"id {kind}, set binary")
-    found = store(found, "minhash-sets")
+    found = _sets(pairs.select(F.col("u").alias("id")).union(pairs.select("v")), texts, words, kind)
     left, right = (found.frame.select(F.col("id").alias(x), F.col("set").alias(s)) for x, s in (("u", "su"), ("v", "sv")))
     links = store(pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(check, f"u {kind}, v {kind}"), "minhash-links").frame
     found.drop()
@@ -193,32 +198,52 @@ def _mixed(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
     return named.join(mixed.select("key", "size"), "key").join(reps.select("id", "n", "sig"), "id")
 
 
-def _across(mixed: DataFrame, percent: int, kind: str) -> DataFrame:
-    """Pairs ``u, v`` of different components of a bucket whose sizes and signatures allow the similarity.
+def _across(mixed: DataFrame, texts: DataFrame, words: int, percent: int, kind: str) -> DataFrame:
+    """Links ``u, v`` between different components of a bucket: enough of them to join all that are linked there.
 
-    A bucket (at most ``TASK_BUCKET`` members, about 300 bytes each) is compared in one task, a block of rows at a time;
-    the members of its largest component are compared with the others only.
+    A bucket (at most ``TASK_BUCKET`` members) is compared in one task, a block of rows at a time; the members of its
+    largest component are compared with the others only. Pairs whose sizes and signatures come near the similarity are
+    confirmed on their full sets, likeliest first, unless links found before already join them. So a bucket of m
+    members gives fewer than m rows, however many of its pairs are alike.
     """
     least = percent / 100 - SLACK
 
     def run(bucket: pa.Table) -> pa.Table:
         ids, label, n = (bucket.column(c).to_numpy() for c in ("id", "label", "n"))
+        sets = [np.frombuffer(x.as_buffer(), _U64) for x in bucket.column("set")]
         sig = np.frombuffer(b"".join(bucket.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
         _, code, sizes = np.unique(label, return_inverse=True, return_counts=True)
+        up = list(range(len(sizes)))
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
         outside = np.flatnonzero(code != sizes.argmax())
         us, vs = [], []
         step = max(1, 40_000_000 // (sig.shape[1] * len(ids)))
         for at in range(0, len(outside), step):
             i = outside[at : at + step]
             fits = (code[i, None] != code[None, :]) & (np.minimum(n[i, None], n[None, :]) * 100 >= percent * np.maximum(n[i, None], n[None, :]))
-            x, y = np.nonzero(fits & (_agreement(sig[i, None], sig[None]) >= least))
-            us.append(ids[i[x]])
-            vs.append(ids[y])
-        u, v = np.concatenate(us), np.concatenate(vs)
+            x, y = np.nonzero(fits)
+            near = _agreement(sig[i[x]], sig[y])
+            for k in np.argsort(-near, kind="stable"):
+                if near[k] < least:
+                    break
+                p, q = i[x[k]], y[k]
+                a, b = top(code[p]), top(code[q])
+                if a != b and jaccard_at_least(sets[p], sets[q], percent):
+                    up[max(a, b)] = min(a, b)
+                    us.append(p)
+                    vs.append(q)
+        u, v = ids[np.array(us, np.int64)], ids[np.array(vs, np.int64)]
         kind_ = bucket.schema.field("id").type
         return pa.table({"u": pa.array(np.where(u > v, u, v), kind_), "v": pa.array(np.where(u > v, v, u), kind_)})
 
-    return mixed.select("key", "id", "label", "n", "sig").groupBy("key").applyInArrow(run, f"u {kind}, v {kind}").distinct()
+    sets = _sets(mixed, texts, words, kind).frame
+    return mixed.select("key", "id", "label", "n", "sig").join(sets, "id").groupBy("key").applyInArrow(run, f"u {kind}, v {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,10 +257,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     Documents with equal sets (a group of copies may hold a third of all rows) meet first, in a pre-aggregated
     group-by, and only one of them goes on. A bucket links its members to its least one, so a bucket of m members
     gives m pairs, not m * m. What can remain are links between components that share a bucket but not its least
-    member: buckets that still hold several components are compared by signature inside a task, which emits only
-    pairs that come near the similarity; a bucket too large for a task is first split by further signature coordinates
-    (a similar pair stays together in some part, and all parts of all its shared buckets must lose it for it to be
-    missed). With 48 bands of six, a pair of similarity 0.8 shares no bucket with probability 5e-7.
+    member: buckets that still hold several components are compared inside a task, by signature and then on full sets,
+    which emits only links that join components; a bucket too large for a task is first split by further signature coordinates
+    (a pair of similarity 0.8 stays together in some part but for a probability of 5e-7 again). With 48 bands of six,
+    a pair of similarity 0.8 shares no bucket with probability 5e-7.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     sketches = store(sketch(docs, words, id_col, text_col), "minhash").frame
@@ -255,11 +280,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
         mixed = store(_mixed(members, labels.frame, reps), "minhash-mixed").frame
         large = mixed.where(F.col("size") > TASK_BUCKET).select("key", "id", "sig")
         split = level < 2 and not large.isEmpty()
-        pairs = _across(mixed.where(F.col("size") <= TASK_BUCKET) if split else mixed, percent, kind)
+        links = links.union(store(_across(mixed.where(F.col("size") <= TASK_BUCKET) if split else mixed, texts, words, percent, kind), "minhash-across").frame)
         if split:
             members = store(_shared(_split(large, level, kind)), "minhash-split").frame
-            pairs = pairs.union(_stars(members)).distinct()
-        links = links.union(confirm(pairs))
+            links = links.union(confirm(_stars(members)))
         labels = components(links)
         if not split:
             break
@@ -269,18 +293,18 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
 
 
 def _split(members: DataFrame, level: int, kind: str) -> DataFrame:
-    """Members (key, id, sig) of large buckets under longer keys: the old key with each of 24 groups of twelve coordinates."""
+    """Members (key, id, sig) of large buckets under longer keys: the old key with each of 48 other groups of six coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = np.random.default_rng(level).permutation(COORDINATES)
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = np.stack([np.frombuffer(x, np.uint8) for x in b.column(2).to_pylist()])[:, turn].reshape(b.num_rows, 24, 12).astype(_U64)
-            key = np.asarray(b.column(0)).view(_U64)[:, None] + np.arange(1, 25, dtype=_U64)
-            for j in range(12):
+            sig = np.stack([np.frombuffer(x, np.uint8) for x in b.column(2).to_pylist()])[:, turn].reshape(b.num_rows, BANDS, -1).astype(_U64)
+            key = np.asarray(b.column(0)).view(_U64)[:, None] + np.arange(1, BANDS + 1, dtype=_U64)
+            for j in range(sig.shape[2]):
                 key = _mix64(key * _U64(0x9E3779B97F4A7C15) + sig[:, :, j])
-            index = np.repeat(np.arange(b.num_rows), 24)
+            index = np.repeat(np.arange(b.num_rows), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), b.column(1).take(pa.array(index))], names=["key", "id"])
 
     return members.mapInArrow(run, f"key bigint, id {kind}")
