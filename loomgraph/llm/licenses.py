@@ -7,6 +7,8 @@ band key equals a template's is a candidate, and the template's shingles are the
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,6 +90,14 @@ def _grams(tokens: Column) -> Column:
     return F.when(n < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.zip_with(F.slice(tokens, 1, n - 1), F.slice(tokens, 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
 
 
+def _needs(chunks: DataFrame, containment: float) -> Column:
+    """A literal array of ``struct(hashes, need)``: each notice's distinct shingles and how many of them it takes."""
+    notices = chunks.groupBy("license", "notice").agg(F.array_distinct(F.flatten(F.collect_list("hashes"))).alias("hashes"), F.sum(F.size(F.array_distinct("hashes"))).alias("size")).collect()
+    # a shingle in two chunks counts twice in the containment, once here
+    need = lambda r: math.ceil(containment * r["size"] - 1e-9) - (r["size"] - len(r["hashes"]))
+    return F.array(*(F.struct(F.lit(r["hashes"]).alias("hashes"), F.lit(need(r)).alias("need")) for r in notices))
+
+
 def scan_licenses(docs: DataFrame, *, templates: dict[str, list[str]] | None = None, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, license, containment, first_word, n_places``: each license whose notice a document holds.
 
@@ -98,15 +108,20 @@ def scan_licenses(docs: DataFrame, *, templates: dict[str, list[str]] | None = N
     A row for each row of ``docs`` and license: repeated rows of one id meet in one. Rows without an id are left out.
     Other columns are ignored; no rows in, none out.
 
-    Windows that share no shingle with any template can collide with none, so they are left out before signatures
-    are made; that drops no candidate. Templates are a parameter of bounded size (a few hundred shingles), so what is
+    Documents that lack more of each notice's shingles than the containment allows, and windows that share no shingle
+    with any template (their signatures can collide with none), are left out before signatures are made; neither
+    drops a match. Templates are a parameter of bounded size (a few hundred shingles), so what is
     broadcast doesn't grow with the corpus. Documents aren't shuffled, only candidate windows are.
     """
     spark = docs.sparkSession
     chunks = store(template_chunks(spark, templates or TEMPLATES), "license-templates").frame
     all_hashes, all_keys = (F.lit(x) for x in chunks.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hashes")))), F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys"))))).first())
-    hashed = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("tokens"))
-    hashed = hashed.withColumn("hashes", shingle_hashes(F.col("tokens"))).where(F.arrays_overlap("hashes", all_hashes))
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # a document that lacks too many of every notice's shingles anywhere can't hold one around a window. The generator
+    # keeps the optimizer from working out the shared shingles anew for each notice.
+    shared = rows.select("id", "text", F.explode(F.array(F.array_intersect(shingle_hashes(words(F.col("text"))), all_hashes))).alias("shared"))
+    able = shared.where(F.exists(_needs(chunks, containment), lambda n: F.size(F.array_intersect("shared", n["hashes"])) >= n["need"]))
+    hashed = able.select("id", words(F.col("text")).alias("tokens")).withColumn("hashes", shingle_hashes(F.col("tokens")))
     hit = F.transform("hashes", lambda h: F.array_contains(all_hashes, h))
     hashed = hashed.withColumn("hit", hit)
     # a window's place is its first word; the last one begins where the text's last shingle is still inside
