@@ -90,21 +90,38 @@ def _grams(tokens: Column) -> Column:
     return F.when(n < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.zip_with(F.slice(tokens, 1, n - 1), F.slice(tokens, 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
 
 
-def _needs(chunks: DataFrame, containment: float) -> Column:
+def _notices(chunks: DataFrame) -> list:
+    """``license, notice, hashes, size`` of each notice: its distinct shingles, and their number summed over its chunks."""
+    return chunks.groupBy("license", "notice").agg(F.array_distinct(F.flatten(F.collect_list("hashes"))).alias("hashes"), F.sum(F.size(F.array_distinct("hashes"))).alias("size")).collect()
+
+
+def _needs(notices: list, containment: float) -> Column:
     """A literal array of ``struct(hashes, need)``: each notice's distinct shingles and how many of them it takes."""
-    notices = chunks.groupBy("license", "notice").agg(F.array_distinct(F.flatten(F.collect_list("hashes"))).alias("hashes"), F.sum(F.size(F.array_distinct("hashes"))).alias("size")).collect()
     # a shingle in two chunks counts twice in the containment, once here
     need = lambda r: math.ceil(containment * r["size"] - 1e-9) - (r["size"] - len(r["hashes"]))
     return F.array(*(F.struct(F.lit(r["hashes"]).alias("hashes"), F.lit(need(r)).alias("need")) for r in notices))
 
 
+def _families(spark: SparkSession, notices: list) -> DataFrame:
+    """``license, notice, size, family``: notices that share half of one's shingles can be taken for each other."""
+    family = list(range(len(notices)))
+    for i, a in enumerate(notices):
+        for j, b in enumerate(notices[:i]):
+            if 2 * len(set(a["hashes"]) & set(b["hashes"])) >= min(len(a["hashes"]), len(b["hashes"])):
+                family = [family[j] if f == family[i] else f for f in family]
+    rows = (F.struct(F.lit(r["license"]).alias("license"), F.lit(r["notice"]).alias("notice"), F.lit(r["size"]).alias("size"), F.lit(f).alias("family")) for r, f in zip(notices, family, strict=True))
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*")
+
+
 def scan_licenses(docs: DataFrame, *, templates: dict[str, list[str]] | None = None, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, license, containment, first_word, n_places``: each license whose notice a document holds.
 
     ``containment`` is the largest share, over the license's notices, of the notice's two-word shingles that the
     document has around the windows which retrieved it (each part of a long notice where it fits best); ``first_word``
-    is the place of the first such window, ``n_places`` how many there are. Where several notices fit one window, those
-    that fit it best count (ties: all). Null, empty and one-word texts hold none.
+    is the place of the first such window, ``n_places`` how many there are. Where notices of several licenses that can
+    be taken for each other fit one window, the licenses of the notices that fit best around it count (ties: all): a
+    notice fits by all its parts that lie in step there, and its own parts never compete. Null, empty and one-word
+    texts hold none.
     A row for each row of ``docs`` and license: repeated rows of one id meet in one. Rows without an id are left out.
     Other columns are ignored; no rows in, none out.
 
@@ -120,7 +137,8 @@ def scan_licenses(docs: DataFrame, *, templates: dict[str, list[str]] | None = N
     # a document that lacks too many of every notice's shingles anywhere can't hold one around a window. The generator
     # keeps the optimizer from working out the shared shingles anew for each notice.
     shared = rows.select("id", "text", F.explode(F.array(F.array_intersect(shingle_hashes(words(F.col("text"))), all_hashes))).alias("shared"))
-    able = shared.where(F.exists(_needs(chunks, containment), lambda n: F.size(F.array_intersect("shared", n["hashes"])) >= n["need"]))
+    notices = _notices(chunks)
+    able = shared.where(F.exists(_needs(notices, containment), lambda n: F.size(F.array_intersect("shared", n["hashes"])) >= n["need"]))
     hashed = able.select("id", words(F.col("text")).alias("tokens")).withColumn("hashes", shingle_hashes(F.col("tokens")))
     hit = F.transform("hashes", lambda h: F.array_contains(all_hashes, h))
     hashed = hashed.withColumn("hit", hit)
@@ -129,13 +147,24 @@ def scan_licenses(docs: DataFrame, *, templates: dict[str, list[str]] | None = N
     windows = hashed.select("id", F.explode(F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice("hashes", i + 1, WINDOW - 1).alias("hashes"), F.slice("tokens", F.greatest(F.lit(1), i + 1 - WINDOW), F.lit(3 * WINDOW)).alias("around")))).alias("w"))
     keyed = windows.select("id", "w.start", "w.around", _keys(F.col("w.hashes")).alias("keys")).where(F.arrays_overlap("keys", all_keys))
     found = keyed.select("id", "start", "around", F.explode(F.array_distinct("keys")).alias("key"))
-    known = F.broadcast(chunks.select("license", "notice", "chunk", _grams(F.col("tokens")).alias("grams"), F.explode(F.array_distinct("keys")).alias("key")))
+    known = chunks.join(F.broadcast(_families(spark, notices)), ["license", "notice"])
+    known = F.broadcast(known.select("license", "notice", "chunk", "size", "family", _grams(F.col("tokens")).alias("grams"), F.explode(F.array_distinct("keys")).alias("key")))
     hits = F.size(F.array_intersect("grams", _grams(F.col("around"))))
-    places = found.join(known, "key").groupBy("id", "start", "license", "notice", "chunk").agg(F.max(hits).alias("hits"), F.max(hits / F.size("grams")).alias("fit"))
-    # notices that differ by a version or a clause fit the same place: the one that fits it best stands there
-    places = places.withColumn("top", F.max("fit").over(W.partitionBy("id", "start"))).where("fit = top")
-    best = places.groupBy("id", "license", "notice", "chunk").agg(F.max("hits").alias("hits"), F.min("start").alias("first_word"), F.count(F.lit(1)).alias("n"))
-    sizes = chunks.groupBy("license", "notice").agg(F.sum(F.size(_grams(F.col("tokens")))).alias("size"))
-    notices = best.groupBy("id", "license", "notice").agg(F.sum("hits").alias("hits"), F.min("first_word").alias("first_word"), F.sum("n").alias("n"))
-    scored = notices.join(F.broadcast(sizes), ["license", "notice"]).withColumn("containment", F.col("hits") / F.col("size")).where(F.col("containment") >= containment)
+    places = found.join(known, "key").groupBy("id", "start", "license", "notice", "chunk", "size", "family").agg(F.max(hits).alias("hits"))
+    # each notice's containment in the document, over all its chunks
+    notice = W.partitionBy("id", "license", "notice")
+    part = W.partitionBy("id", "license", "notice", "chunk").orderBy(F.desc("hits"), "start")
+    places = places.withColumn("best", F.when(F.row_number().over(part) == 1, F.col("hits")))
+    places = places.withColumn("whole", F.sum("best").over(notice)).where(F.col("whole") / F.col("size") >= containment)
+    # chunks whose places agree on where the notice begins make one occurrence
+    near = notice.orderBy(F.col("start") - F.col("chunk")).rangeBetween(2 - 2 * WINDOW, 2 * WINDOW - 2)
+    places = places.withColumn("near", F.collect_list(F.struct("chunk", "hits")).over(near))
+    best_of = lambda c: F.array_max(F.transform(F.filter("near", lambda n: n["chunk"] == c), lambda n: n["hits"]))
+    places = places.withColumn("near", F.transform(F.array_distinct("near.chunk"), lambda c: F.struct(c.alias("chunk"), best_of(c).alias("hits"))))
+    places = places.withColumn("fit", F.aggregate("near.hits", F.lit(0), lambda a, h: a + h) / F.col("size"))
+    # notices that differ by a version or a clause fit the same place: the license that fits it best stands there
+    places = places.withColumn("own", F.max("fit").over(W.partitionBy("id", "start", "family", "license"))).withColumn("top", F.max("fit").over(W.partitionBy("id", "start", "family"))).where("own = top")
+    best = places.select("id", "license", "notice", "size", "start", F.col("chunk").alias("at"), F.explode("near").alias("n")).groupBy("id", "license", "notice", "size", "n.chunk").agg(F.max("n.hits").alias("hits"), F.min("start").alias("first_word"), F.count_if(F.col("at") == F.col("n.chunk")).alias("n"))
+    scored = best.groupBy("id", "license", "notice", "size").agg(F.sum("hits").alias("hits"), F.min("first_word").alias("first_word"), F.sum("n").alias("n"))
+    scored = scored.withColumn("containment", F.col("hits") / F.col("size")).where(F.col("containment") >= containment)
     return scored.groupBy(F.col("id").alias(id_col), "license").agg(F.max("containment").alias("containment"), F.min("first_word").alias("first_word"), F.sum("n").alias("n_places"))

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +83,35 @@ def test_license_scan_finds_every_whole_notice(spark, sf):
     assert licenses.scan_licenses(whole.limit(0)).count() == 0
 
 
+def test_license_scan_finds_long_notices_with_replaced_words(spark):
+    rng = np.random.default_rng(9)
+    split = lambda t: [w for w in re.split(r"[^a-z0-9]+", t.lower()) if w]
+    rows, want = [], {}
+    for name, i in (("MIT", 2), ("Apache-2.0", 1), ("GPL-3.0", 1), ("GPL-2.0", 1), ("BSD", 1), ("ISC", 0)):
+        notice = split(licenses.TEMPLATES[name][i])
+        parts = [notice[c : c + licenses.WINDOW] for c in range(0, len(notice) - 1, licenses.WINDOW - 1)]
+        size = sum(len(set(zip(p, p[1:], strict=False))) for p in parts)
+        for replaced in (1, 2, 3):
+            for _ in range(12):
+                text = list(notice)
+                for at in rng.choice(len(text), replaced, replace=False):
+                    text[at] = f"q{at}"
+                text = [f"w{rng.integers(1000)}" for _ in range(rng.integers(0, 30))] + text + [f"w{rng.integers(1000)}" for _ in range(30)]
+                grams = set(zip(text, text[1:], strict=False))
+                share = sum(len(set(zip(p, p[1:], strict=False)) & grams) for p in parts) / size
+                if share >= licenses.CONTAINMENT:
+                    want[len(rows)] = (name, share)
+                rows.append((len(rows), " ".join(text)))
+    got = {(r.doc_id, r.license): r.containment for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 100
+    # the version may be among the replaced words: then the other version's share is as high
+    assert not [(i, w, rows[i][1]) for i, w in want.items() if abs(got.get((i, w[0]), 0) - w[1]) > 1e-9]
+    assert {i for i, _ in got} == set(want) and {k for _, k in got} == {k for k, _ in want.values()}
+    # an intact notice still keeps out the one that differs from it by the version
+    whole = spark.createDataFrame([(0, "a b c " + licenses.TEMPLATES["GPL-3.0"][1] + " d e f")], "doc_id long, text string")
+    assert [r.license for r in licenses.scan_licenses(whole).collect()] == ["GPL-3.0"]
+
+
 def test_mixture_meets_its_targets(spark):
     rng = np.random.default_rng(5)
     rows = [(i, "w " * int(rng.integers(1, 50)), str(rng.choice(["en", "de"], p=[0.8, 0.2])), str(rng.choice(["a", "b", "c"], p=[0.6, 0.3, 0.1])), 0.0) for i in range(4000)]
