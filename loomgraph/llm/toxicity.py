@@ -37,12 +37,32 @@ MEMO_ENTRIES = 400_000
 MARKS = "\"'`.,;:!?()[]{}<>*&%$#@|/\\-_+=~^"
 
 
+_BREAKS = str.maketrans(dict.fromkeys(MARKS, " "))
+#: Most characters of a word; longer tokens are several words.
+LONGEST = 40
+
+
+def words_of(text: str) -> list[str]:
+    """The tokens of a text. Those of more than ``LONGEST`` characters are broken at marks, and what is still longer into pieces that overlap by half."""
+    tokens = text.lower().split()
+    if max(map(len, tokens), default=0) <= LONGEST:
+        return tokens
+    return [w for t in tokens for w in ((t,) if len(t) <= LONGEST else _broken(t))]
+
+
+def _broken(token: str) -> list[str]:
+    if len(word := token.strip(MARKS)) <= LONGEST:
+        return [word]
+    half = LONGEST // 2
+    return [w[i : i + LONGEST] for w in word.translate(_BREAKS).split() for i in range(0, max(1, len(w) - half), half)]
+
+
 def grams(token: str) -> list[int]:
     """Buckets of a token: the stripped word and its n-grams of three to five characters between marks."""
     word = token.strip(MARKS)
     if not word:
         return []
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     found = [w, *(w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1))]
     return [zlib.crc32(g.encode("utf-8")) & (BUCKETS - 1) for g in found]
 
@@ -57,7 +77,7 @@ class Model:
     floor: np.ndarray
 
     def score(self, text: str, memo: dict) -> float:
-        tokens = text.lower().split()
+        tokens = words_of(text)
         s = np.fromiter(map(memo.__getitem__, tokens), np.float64, len(tokens))
         s = s[~np.isnan(s)]
         return float(_sigmoid((_worst(s) if len(s) else self.floor) @ self.slopes + self.shift))
@@ -92,8 +112,6 @@ class _Memo(dict):
         if s is None:
             g = grams(token)
             s = sum(map(self.weights.__getitem__, g)) / len(g) if g else float("nan")
-            if len(token) > 48:
-                return s
         if len(self) >= MEMO_ENTRIES // 2:
             self.old = dict(self)
             self.clear()
@@ -111,7 +129,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     vocab: dict[str, int] = {}
     docs = []
     for t in texts:
-        words = [w for w in t.lower().split() if w.strip(MARKS)]
+        words = [w for w in words_of(t) if w.strip(MARKS)]
         docs.append(np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int32, len(words)))
     flat_grams, counts = array("i"), array("i")
     for w in vocab:
@@ -190,7 +208,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     weights = np.zeros(BUCKETS)
     weights[used] = table @ soft
     memo = _Memo(weights)
-    found = [_worst(x) if len(x) else np.full(2, np.nan) for x in (np.array([s for s in map(memo.__getitem__, t.lower().split()) if s == s]) for t in texts)]
+    found = [_worst(x) if len(x) else np.full(2, np.nan) for x in (np.array([s for s in map(memo.__getitem__, words_of(t)) if s == s]) for t in texts)]
     x = np.array(found)
     floor = np.nanmedian(x[y == 0], axis=0) if np.isfinite(x[y == 0]).any() else np.zeros(2)
     slopes, shift = _calibrate(np.where(np.isnan(x), floor, x), y)
@@ -230,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, *, folds: int = 5, sample: dict[in
 def score_documents(docs: DataFrame, model: Model, *, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``id, held_out, score, predicted`` (and the columns of ``keep``) for every row of ``docs``.
 
-    Scores lie in [0, 1] and follow from the text alone; null and empty texts, and texts without a word, score as the
+    Scores lie in [0, 1] and follow from the whole text alone, also where it has no spaces; null and empty texts, and texts without a word, score as the
     middle one of the clean training documents. Repeated rows each give a row. One narrow pass; the model (1 MB, whatever the corpus) is
     broadcast.
     """

@@ -60,6 +60,22 @@ def test_toxicity_held_out_and_odd_texts(spark):
     assert all(got[i].predicted == 0 for i in (3, 4, 5, 6, 7)) and all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_toxicity_reads_long_tokens_to_their_end():
+    clean, bad = [f"plain words number {i} here" for i in range(40)], [f"plain words idiot{'s' * (i % 2)} here {i}" for i in range(40)]
+    model = toxicity.fit(clean + bad, [0] * 40 + [1] * 40)
+    score = lambda t: model.score(t, toxicity._Memo(model.weights))
+    for mark in ",_/-":
+        lead = mark.join(["plain", "words", "here"] * 20)
+        assert score(lead) < 0.5 < score(f"{lead}{mark}idiot"), mark
+    run = "plainwordshere" * 20
+    assert score(run + "idiots") > score(run) and score(run + "idiots" + run) > score(run + run)
+    # every character lies in some word, and no n-gram is lost
+    for n in (40, 41, 59, 60, 61, 200):
+        t = "".join(chr(0x4E00 + i) for i in range(n))
+        found = toxicity.words_of(t)
+        assert all(len(w) <= 40 for w in found) and {t[i : i + 5] for i in range(n - 4)} <= {w[i : i + 5] for w in found for i in range(len(w) - 4)}
+
+
 @pytest.mark.parametrize("values", [[], [0], [1]])
 def test_one_class_or_none(spark, values):
     docs = spark.createDataFrame([(i, "some words here") for i in range(30)], "doc_id long, text string")
