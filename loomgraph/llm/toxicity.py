@@ -84,9 +84,9 @@ class Model:
 
 
 def _passages(s: np.ndarray) -> np.ndarray:
-    """Means of each ``WINDOW`` words (the last passage may be shorter)."""
-    starts = np.arange(0, len(s), WINDOW)
-    return np.add.reduceat(s, starts) / np.minimum(WINDOW, len(s) - starts)
+    """Means of each ``WINDOW`` neighbouring words, wherever they begin (of all words, if they are fewer)."""
+    n = len(s) - WINDOW + 1
+    return sum(s[k : k + n] for k in range(WINDOW)) / WINDOW if n > 0 else s.mean(keepdims=True)
 
 
 def _worst(s: np.ndarray) -> np.ndarray:
@@ -167,7 +167,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
             # a toxic document's worst passage, and others that the model holds toxic; any document's worst two and two more
             at = order[: 1 + int((p[order[1:]] + bias > 0).sum() if r else 0)] if y[i] else np.unique([*order[:2], *rng.integers(0, len(p), 2)])
             for a in at:
-                w = d[WINDOW * a : WINDOW * (a + 1)]
+                w = d[a : a + WINDOW]
                 picked.append(np.pad(w, (0, WINDOW - len(w)), constant_values=-1))
                 label.append(y[i])
         windows, target = np.stack(picked), np.array(label, np.float64)

@@ -76,6 +76,12 @@ def test_toxicity_reads_long_tokens_to_their_end():
         assert all(len(w) <= 40 for w in found) and {t[i : i + 5] for i in range(n - 4)} <= {w[i : i + 5] for w in found for i in range(len(w) - 4)}
 
 
+def test_a_passage_begins_at_any_word():
+    s = np.array([0.1, -0.2, 3.0, 2.0, -0.5, 0.0, 0.3])
+    assert np.allclose(toxicity._passages(s), (s[:-1] + s[1:]) / 2) and np.allclose(toxicity._passages(s[:1]), s[:1])
+    assert toxicity._worst(s)[0] == toxicity._worst(s[1:])[0] == 2.5
+
+
 @pytest.mark.parametrize("values", [[], [0], [1]])
 def test_one_class_or_none(spark, values):
     docs = spark.createDataFrame([(i, "some words here") for i in range(30)], "doc_id long, text string")
