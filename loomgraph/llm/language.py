@@ -8,6 +8,7 @@ the documents, spliced into code-switched ones, so that transitions between lang
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ SAMPLE, LEAST = 2400, 20
 LEXICON_COUNT, LEXICON_SHARE = 3, 0.8
 STEPS, BATCH, RATE, DECAY = 150, 192, 0.08, 1e-6
 MEMO_ENTRIES = 300_000
+#: Most letters of a word; a longer token is several words.
+LONGEST = 40
 UNDETERMINED = "und"
 
 
@@ -36,9 +39,17 @@ def word_of(token: str) -> str:
     return token.lower() if token.isalpha() else "".join(c for c in token if c.isalpha()).lower()
 
 
+def words_of(token: str) -> list[str]:
+    """The token's words: its letters are one, but if they are more than ``LONGEST`` each run of letters (marks on them left out) is, in pieces of at most that."""
+    if len(word := word_of(token)) <= LONGEST:
+        return [word] if word else []
+    runs = "".join(c if c.isalpha() else "" if unicodedata.category(c)[0] == "M" else " " for c in token).lower().split()
+    return [run[i : i + LONGEST] for run in runs for i in range(0, len(run), LONGEST)]
+
+
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Hashed prefixes and suffixes (1 to 4), trigrams, length and lexicon of a word."""
-    w = word[:40]
+    w = word
     found = [f"p{w[:n]}" for n in (1, 2, 3, 4) if len(w) >= n] + [f"s{w[-n:]}" for n in (1, 2, 3, 4) if len(w) >= n]
     m = f"<{w}>"
     found += ["g" + m[i : i + 3] for i in range(len(m) - 2)]
@@ -119,7 +130,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 11) -> Crf:
     seen: dict[str, Counter] = {}
     for t, g in zip(texts, langs, strict=True):
         k = labels.index(g)
-        if words := [w for w in map(word_of, t.split()) if w]:
+        if words := [w for token in t.split() for w in words_of(token)]:
             docs.append((k, words))
             for w in words:
                 seen.setdefault(w, Counter())[k] += 1
@@ -235,6 +246,8 @@ def predict(crf: Crf, texts: list[str], memo: _Memo | None = None) -> list[tuple
         rows, held = [], 0
         while at < len(texts) and held < 200_000:
             tokens = texts[at].split()
+            if max(map(len, tokens), default=0) > LONGEST:
+                tokens = [w for t in tokens for w in ((t,) if len(t) <= LONGEST else words_of(t))]
             r = np.fromiter(map(memo.__getitem__, tokens), np.int64, len(tokens))
             rows.append(r[r >= 0])
             held += len(r)
@@ -248,21 +261,23 @@ def predict(crf: Crf, texts: list[str], memo: _Memo | None = None) -> list[tuple
 
 
 def label_words(crf: Crf, text: str) -> list[tuple[str, str, float]]:
-    """Each word of a text with its most probable language: the spans of a code-switched text."""
-    words = [w for w in text.split() if word_of(w)]
-    if not words or not crf.labels:
+    """Each word of a text with its most probable language: the spans of a code-switched text. A long token's words share one."""
+    tokens = [(t, w) for t in text.split() if (w := words_of(t))]
+    if not tokens or not crf.labels:
         return []
-    emit = crf.emissions([word_of(w) for w in words])
+    emit = crf.emissions([w for _, words in tokens for w in words])
     found = []
-    for at in range(0, len(words), CHAIN):
+    for at in range(0, len(emit), CHAIN):
         part = emit[at : at + CHAIN][None]
         gamma, _, _ = forward_backward(part, crf.trans, np.ones(part.shape[:2], bool))
-        found += [(crf.labels[int(p.argmax())], float(p.max())) for p in gamma[0]]
-    return [(w, g, p) for w, (g, p) in zip(words, found, strict=True)]
+        found.append(gamma[0])
+    sizes = np.array([len(words) for _, words in tokens])
+    means = np.add.reduceat(np.concatenate(found), np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+    return [(t, crf.labels[int(p.argmax())], float(p.max())) for (t, _), p in zip(tokens, means, strict=True)]
 
 
 def identify(docs: DataFrame, crf: Crf, *, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``id, held_out, lang_pred, score`` (and the columns of ``keep``) for every row of ``docs``, from its whole text.
+    """``id, held_out, lang_pred, score`` (and the columns of ``keep``) for every row of ``docs``, from its whole text, also where it has no spaces.
 
     A null text, an empty one and one without a letter are ``und`` with score 0, and so is every text if there was
     nothing to learn from. Ties between languages go to the first by name. Repeated rows each give a row. One narrow

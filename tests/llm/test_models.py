@@ -47,6 +47,23 @@ def test_language_held_out_and_odd_texts(spark):
     assert {r.lang_pred for r in untaught} == {"und"}
 
 
+def test_language_reads_long_tokens_to_their_end():
+    en, de = ["the", "and", "with", "that", "which", "there"], ["der", "und", "nicht", "werden", "durch", "zwischen"]
+    rng = np.random.default_rng(3)
+    text = lambda words, n=40: [str(w) for w in rng.choice(words, n)]
+    crf = language.fit([" ".join(text(words)) for words in (en, de) for _ in range(25)], ["en"] * 25 + ["de"] * 25)
+    for mark in ",_/-1":
+        joined = mark.join(text(en, 15) + text(de, 150))
+        assert language.predict(crf, [joined])[0][0] == "de", mark
+        assert language.label_words(crf, "the " + joined)[1][1] == "de"
+    # every letter of a run counts, marks on letters don't part it, shorter tokens stay one word
+    for n in (40, 41, 80, 81, 1000):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        assert "".join(language.words_of(run)) == run and max(map(len, language.words_of(run))) <= 40
+        assert len(language.words_of("".join(c + chr(0x0301) for c in run))) == -(-n // 40)
+    assert language.words_of("don't") == ["dont"] and language.words_of("12--") == []
+
+
 def test_toxicity_held_out_and_odd_texts(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
