@@ -8,18 +8,27 @@ from pyspark.sql import functions as F
 from loomgraph.llm.storage import Stored, store
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+def _least(edges: DataFrame) -> Stored:
+    """``u, m``: the least neighbour of each node. Stored, so that the join on ``u`` reads two plain shuffles and adaptive execution can split a hub."""
+    return store(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least, "u")
-    moved = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+def _large(edges: DataFrame) -> Stored:
+    """Each node's greater neighbours, linked to the least of the node and its neighbours."""
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = _least(both)
+    out = store(both.where("v > u").join(least.frame, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "cc-large")
+    least.drop()
+    return out
+
+
+def _small(edges: DataFrame) -> Stored:
+    """Each node's lesser neighbours (``edges`` run from greater to lesser), and the node, linked to the least of them."""
+    least = _least(edges)
+    moved = edges.join(least.frame, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = store(moved.union(least.frame.select("u", F.col("m").alias("v"))).distinct(), "cc")
+    least.drop()
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -35,7 +44,9 @@ def components(edges: DataFrame) -> Stored:
     now = store(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     state = _state(now.frame)
     while state[0]:
-        after = store(_small(_large(now.frame)), "cc")
+        grown = _large(now.frame)
+        after = _small(grown.frame)
+        grown.drop()
         now.drop()
         now, before, state = after, state, _state(after.frame)
         if state == before:

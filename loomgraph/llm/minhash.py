@@ -22,8 +22,8 @@ COORDINATES, BANDS = 288, 48
 #: Candidates whose signatures agree on a share of their coordinates that is this much under the similarity asked for
 #: aren't confirmed: at 0.8, five standard deviations (288 coordinates, one byte each).
 SLACK = 0.12
-#: Buckets up to this size are compared between components in one task; larger ones are split by more coordinates.
-TASK_BUCKET = 2048
+#: A bucket is compared as pairs of blocks, each of about so many members or so many shingles, whichever is less.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 2_000_000
 #: Up to so many document ids (8 bytes each) are broadcast to pick texts to confirm; beyond it they are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Word hashes that a worker remembers.
@@ -136,11 +136,11 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int, kind: str) -> DataFrame:
-    """Pairs ``u, v`` whose sizes allow the similarity and whose signatures come near it."""
-    sizes, sigs, least = reps.select("id", "n"), reps.select("id", "sig"), percent / 100 - SLACK
-    sized = pairs.join(sizes.select(F.col("id").alias("u"), F.col("n").alias("nu")), "u").join(sizes.select(F.col("id").alias("v"), F.col("n").alias("nv")), "v")
-    sized = sized.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent).select("u", "v")
-    sized = sized.join(sigs.select(F.col("id").alias("u"), F.col("sig").alias("su")), "u").join(sigs.select(F.col("id").alias("v"), F.col("sig").alias("sv")), "v")
+    """Pairs ``u, v`` of (u, nu, v) whose sizes allow the similarity and whose signatures come near it."""
+    least = percent / 100 - SLACK
+    sized = pairs.join(reps.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("sv")), "v")
+    sized = sized.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
+    sized = sized.join(reps.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("su")), ["u", "nu"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,12 +158,14 @@ def _sets(ids: DataFrame, texts: DataFrame, words: int, kind: str) -> Stored:
             for at in range(0, b.num_rows, 500):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), pa.array([shingles(t, words).tobytes() for t in b.column(1).slice(at, 500).to_pylist()], pa.binary())], names=["id", "set"])
 
-    wanted = store(ids.select("id").distinct(), "minhash-wanted").frame
-    few = wanted.count() <= BROADCAST_IDS
-    return store(texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInArrow(run, f"id {kind}, set binary"), "minhash-sets")
+    wanted = store(ids.select("id").distinct(), "minhash-wanted")
+    few = wanted.frame.count() <= BROADCAST_IDS
+    out = store(texts.join(F.broadcast(wanted.frame) if few else wanted.frame, "id", "left_semi").mapInArrow(run, f"id {kind}, set binary"), "minhash-sets")
+    wanted.drop()
+    return out
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, kind: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, kind: str) -> Stored:
     """Pairs whose full shingle sets have the similarity."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,47 +175,88 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, kin
 
     found = _sets(pairs.select(F.col("u").alias("id")).union(pairs.select("v")), texts, words, kind)
     left, right = (found.frame.select(F.col("id").alias(x), F.col("set").alias(s)) for x, s in (("u", "su"), ("v", "sv")))
-    links = store(pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(check, f"u {kind}, v {kind}"), "minhash-links").frame
+    links = store(pairs.join(left, "u").join(right, "v").select("u", "v", "su", "sv").mapInArrow(check, f"u {kind}, v {kind}"), "minhash-links")
     found.drop()
     return links
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Each member (key, id) of a bucket with the bucket's least id."""
-    least = members.groupBy("key").agg(F.min("id").alias("v"))
-    return members.join(least, "key").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
-
-
-def _shared(buckets: DataFrame) -> DataFrame:
-    """Members (key, id) of buckets that hold more than one."""
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    return buckets.join(sizes, "key")
-
+def _members(reps: DataFrame) -> Stored:
+    """``key, id, n, size, center`` of each bucket that holds several sets: ``center`` is the bucket's least id."""
+    placed = reps.select("id", "n", F.explode("bands").alias("key"))
+    buckets = store(placed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("center")).where("size > 1"), "minhash-buckets")
+    out = store(placed.join(buckets.frame, "key"), "minhash-members")
+    buckets.drop()
+    return out
 
-def _mixed(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Members (key, id, label, size, n, sig) of the buckets of three or more that hold several components."""
-    named = members.join(labels.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    named = store(named, "minhash-named").frame
-    mixed = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("size > 2 AND lo <> hi")
-    return named.join(mixed.select("key", "size"), "key").join(reps.select("id", "n", "sig"), "id")
 
+def _blocks(members: DataFrame, labels: DataFrame, reps: DataFrame) -> Stored:
+    """Rows ``key, i, j, outer, inside, id, label, n, sig, prints`` of the buckets that hold several components.
 
-def _across(mixed: DataFrame, texts: DataFrame, words: int, percent: int, kind: str) -> DataFrame:
+    The members outside a bucket's largest component are dealt into blocks ``i``, all its members into blocks ``j``, by
+    their hash; a member goes to each pair of blocks that it is part of. So no task holds more than two blocks.
+    """
+    named = members.where("size > 2").join(labels.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = store(named.select("key", "id", "n", "label"), "minhash-named")
+    by_label = named.frame.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    whole = by_label.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.max("c").alias("top")).where("k > 1")
+    largest = by_label.join(whole.select("key", F.col("top").alias("c")), ["key", "c"]).groupBy("key").agg(F.min("label").alias("largest"))
+    outside = by_label.withColumnsRenamed({"c": "oc", "s": "os"}).join(largest, "key").where("label <> largest").groupBy("key", "largest").agg(F.sum("oc").alias("oc"), F.sum("os").alias("os"))
+    parts = lambda c, s: F.ceil(F.greatest(F.col(c) / BLOCK_ROWS, F.col(s) / BLOCK_SHINGLES)).cast("int")
+    dealt = store(outside.join(whole, "key").select("key", "largest", parts("oc", "os").alias("ni"), parts("c", "s").alias("nj")), "minhash-dealt")
+    rows = named.frame.join(dealt.frame, "key").withColumn("inside", F.col("label") == F.col("largest"))
+    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    copies = F.transform(F.sequence(F.lit(0), F.col("ni") - 1), lambda i: F.struct(F.lit(False).alias("outer"), i.alias("i"), at("nj").alias("j")))
+    outer = F.transform(F.sequence(F.lit(0), F.col("nj") - 1), lambda j: F.struct(F.lit(True).alias("outer"), at("ni").alias("i"), j.alias("j")))
+    spots = F.when(F.col("inside"), copies).otherwise(F.concat(copies, outer))
+    rows = rows.select("key", "id", "n", "label", "inside", F.inline(spots))
+    prints = F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("prints")
+    out = store(rows.join(reps.select("id", "n", "sig", prints), ["id", "n"]), "minhash-blocks")
+    named.drop()
+    dealt.drop()
+    return out
+
+
+def _candidates(block: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows (outer, member) of a pair of blocks, and their agreement: of different components, by sizes and
+    signatures near the similarity. A pair of documents is taken up in one bucket only, the one of its first common band."""
+    outer, inside, n = (block.column(c).to_numpy() for c in ("outer", "inside", "n"))
+    ids, (_, code) = block.column("id").to_numpy(), np.unique(block.column("label").to_numpy(), return_inverse=True)
+    sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint8).reshape(len(n), -1)
+    prints = np.array(block.column("prints").combine_chunks().flatten()).reshape(len(n), -1)
+    here = block.column("key")[0].as_py() >> 32
+    rows, cols, least = np.flatnonzero(outer), np.flatnonzero(~outer), percent / 100 - SLACK
+    found, step = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))], max(1, 50_000 // max(1, len(cols)))
+    for at in range(0, len(rows), step):
+        i = rows[at : at + step]
+        fits = (code[i, None] != code[cols]) & (np.minimum(n[i, None], n[cols]) * 100 >= percent * np.maximum(n[i, None], n[cols])) & (inside[cols] | (ids[i, None] > ids[cols]))
+        x, y = np.nonzero(fits)
+        x, y = i[x], cols[y]
+        near = _agreement(sig[x], sig[y])
+        x, y, near = x[near >= least], y[near >= least], near[near >= least]
+        first = (prints[x] == prints[y]).argmax(axis=1)
+        mine = prints[x, first] == here
+        found.append((x[mine].astype(np.int32), y[mine].astype(np.int32), near[mine].astype(np.float32)))
+    return tuple(np.concatenate(z) for z in zip(*found, strict=True))
+
+
+def _across(blocks: DataFrame, texts: DataFrame, words: int, percent: int, kind: str) -> Stored:
     """Links ``u, v`` between different components of a bucket: enough of them to join all that are linked there.
 
-    A bucket (at most ``TASK_BUCKET`` members) is compared in one task, a block of rows at a time; the members of its
-    largest component are compared with the others only. Pairs whose sizes and signatures come near the similarity are
-    confirmed on their full sets, likeliest first, unless links found before already join them. So a bucket of m
-    members gives fewer than m rows, however many of its pairs are alike.
+    First the rows that have a candidate are found by sizes and signatures alone; only they get their full sets. Then
+    the candidates of a pair of blocks are confirmed, likeliest first, unless links found before already join them: so
+    a pair of blocks gives fewer links than it has members, however many of its pairs are alike.
     """
-    least = percent / 100 - SLACK
+    schema = f"key bigint, i int, j int, outer boolean, inside boolean, id {kind}, label {kind}, n bigint, sig binary, prints array<int>"
+    names = ["key", "i", "j", "outer", "inside", "id", "label", "n", "sig", "prints"]
+
+    def busy(block: pa.Table) -> pa.Table:
+        x, y, _ = _candidates(block, percent)
+        return block.take(pa.array(np.unique(np.concatenate((x, y))).astype(np.int64))).select(names)
 
-    def run(bucket: pa.Table) -> pa.Table:
-        ids, label, n = (bucket.column(c).to_numpy() for c in ("id", "label", "n"))
-        sets = [np.frombuffer(x.as_buffer(), _U64) for x in bucket.column("set")]
-        sig = np.frombuffer(b"".join(bucket.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-        _, code, sizes = np.unique(label, return_inverse=True, return_counts=True)
-        up = list(range(len(sizes)))
+    def run(block: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_buffer(), _U64) for x in block.column("set")]
+        ids, code = block.column("id").to_numpy(), np.unique(block.column("label").to_numpy(), return_inverse=True)[1]
+        up = list(range(len(ids)))
 
         def top(x: int) -> int:
             while up[x] != x:
@@ -221,29 +264,30 @@ def _across(mixed: DataFrame, texts: DataFrame, words: int, percent: int, kind:
                 x = up[x]
             return x
 
-        outside = np.flatnonzero(code != sizes.argmax())
+        x, y, near = _candidates(block, percent)
         us, vs = [], []
-        step = max(1, 40_000_000 // (sig.shape[1] * len(ids)))
-        for at in range(0, len(outside), step):
-            i = outside[at : at + step]
-            fits = (code[i, None] != code[None, :]) & (np.minimum(n[i, None], n[None, :]) * 100 >= percent * np.maximum(n[i, None], n[None, :]))
-            x, y = np.nonzero(fits)
-            near = _agreement(sig[i[x]], sig[y])
-            for k in np.argsort(-near, kind="stable"):
-                if near[k] < least:
-                    break
-                p, q = i[x[k]], y[k]
-                a, b = top(code[p]), top(code[q])
-                if a != b and jaccard_at_least(sets[p], sets[q], percent):
-                    up[max(a, b)] = min(a, b)
-                    us.append(p)
-                    vs.append(q)
+        for k in np.argsort(-near, kind="stable"):
+            a, b = top(code[x[k]]), top(code[y[k]])
+            if a != b and jaccard_at_least(sets[x[k]], sets[y[k]], percent):
+                up[max(a, b)] = min(a, b)
+                us.append(x[k])
+                vs.append(y[k])
         u, v = ids[np.array(us, np.int64)], ids[np.array(vs, np.int64)]
-        kind_ = bucket.schema.field("id").type
+        kind_ = block.schema.field("id").type
         return pa.table({"u": pa.array(np.where(u > v, u, v), kind_), "v": pa.array(np.where(u > v, v, u), kind_)})
 
-    sets = _sets(mixed, texts, words, kind).frame
-    return mixed.select("key", "id", "label", "n", "sig").join(sets, "id").groupBy("key").applyInArrow(run, f"u {kind}, v {kind}").distinct()
+    near = store(blocks.groupBy("key", "i", "j").applyInArrow(busy, schema), "minhash-busy")
+    sets = _sets(near.frame, texts, words, kind)
+    links = store(near.frame.join(sets.frame, "id").groupBy("key", "i", "j").applyInArrow(run, f"u {kind}, v {kind}"), "minhash-across")
+    near.drop()
+    sets.drop()
+    return links
+
+
+def _repeated(linkable: DataFrame, sketches: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links ``u, v`` that tie the rows of one id together where they hold different texts."""
+    several = sketches.groupBy("id").agg(F.min(F.coalesce("digest", F.lit(b""))).alias("lo"), F.max(F.coalesce("digest", F.lit(b""))).alias("hi")).where("lo <> hi")
+    return linkable.select("digest", F.col("id").alias("u")).join(several.select(F.col("id").alias("u")), "u").join(reps.select("digest", F.col("id").alias("v")), "digest").select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,59 +296,38 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     Two documents are linked if 100 * intersection >= ``percent`` * union of their shingle sets; a component is named
     after its least id, and the document of that id is kept. Null and empty texts, and texts without words, have no
     shingles and no links. Rows that share an id are one document. Rows without an id link with nothing: their
-    component is null and they are kept. Other columns are ignored; no rows in, none out.
+    component is null and they are kept. Other columns are ignored; no rows in, none out. Texts of any length are read whole.
 
     Documents with equal sets (a group of copies may hold a third of all rows) meet first, in a pre-aggregated
-    group-by, and only one of them goes on. A bucket links its members to its least one, so a bucket of m members
-    gives m pairs, not m * m. What can remain are links between components that share a bucket but not its least
-    member: buckets that still hold several components are compared inside a task, by signature and then on full sets,
-    which emits only links that join components; a bucket too large for a task is first split by further signature coordinates
-    (a pair of similarity 0.8 stays together in some part but for a probability of 5e-7 again). With 48 bands of six,
-    a pair of similarity 0.8 shares no bucket with probability 5e-7.
+    group-by, and only one of them goes on; the others take its component in the end. A bucket links its members to
+    its least one, so a bucket of m members gives m pairs, not m * m. What can remain are links between components
+    that share a bucket but not its least member: buckets that still hold several components are compared as pairs of
+    bounded blocks, the members outside the largest component with all, whatever the bucket's size. With 48 bands of
+    six, a pair of similarity 0.8 shares no bucket with probability 5e-7.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    sketches = store(sketch(docs, words, id_col, text_col), "minhash").frame
+    held = [store(sketch(docs, words, id_col, text_col), "minhash")]
+    sketches = held[0].frame
     linkable = sketches.where("n > 0 AND id IS NOT NULL")
-    reps = store(linkable.groupBy("digest").agg(F.min_by(F.struct("id", "n", "bands", "sig"), "id").alias("r")).select("digest", "r.*"), "minhash-reps").frame
-    same = linkable.select("digest", F.col("id").alias("u")).join(reps.select("digest", F.col("id").alias("v")), "digest").where("u <> v").select("u", "v")
-    members = store(_shared(reps.select("id", F.explode("bands").alias("key"))), "minhash-members").frame
+    held.append(store(linkable.groupBy("digest").agg(F.min_by(F.struct("id", "n", "bands", "sig"), "id").alias("r")).select("digest", "r.*"), "minhash-reps"))
+    reps = held[-1].frame
+    held.append(_members(reps))
+    members = held[-1].frame
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        near = store(_agreeing(pairs, reps, percent, kind), "minhash-near").frame
-        return _confirmed(near, texts, words, percent, kind)
-
-    links = same.union(confirm(_stars(members)))
-    labels = components(links)
-    for level in range(3):
-        mixed = store(_mixed(members, labels.frame, reps), "minhash-mixed").frame
-        large = mixed.where(F.col("size") > TASK_BUCKET).select("key", "id", "sig")
-        split = level < 2 and not large.isEmpty()
-        links = links.union(store(_across(mixed.where(F.col("size") <= TASK_BUCKET) if split else mixed, texts, words, percent, kind), "minhash-across").frame)
-        if split:
-            members = store(_shared(_split(large, level, kind)), "minhash-split").frame
-            links = links.union(confirm(_stars(members)))
-        labels = components(links)
-        if not split:
-            break
-    placed = sketches.select("id", "n").join(labels.frame.select(F.col("u").alias("id"), F.col("v").alias("component_id")), "id", "left")
-    component = F.coalesce("component_id", "id")
-    return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
-
-
-def _split(members: DataFrame, level: int, kind: str) -> DataFrame:
-    """Members (key, id, sig) of large buckets under longer keys: the old key with each of 48 other groups of six coordinates."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = np.random.default_rng(level).permutation(COORDINATES)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            sig = np.stack([np.frombuffer(x, np.uint8) for x in b.column(2).to_pylist()])[:, turn].reshape(b.num_rows, BANDS, -1).astype(_U64)
-            key = np.asarray(b.column(0)).view(_U64)[:, None] + np.arange(1, BANDS + 1, dtype=_U64)
-            for j in range(sig.shape[2]):
-                key = _mix64(key * _U64(0x9E3779B97F4A7C15) + sig[:, :, j])
-            index = np.repeat(np.arange(b.num_rows), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), b.column(1).take(pa.array(index))], names=["key", "id"])
-
-    return members.mapInArrow(run, f"key bigint, id {kind}")
+    stars = members.where("id <> center").select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("center").alias("v")).distinct()
+    held.append(store(_agreeing(stars, reps, percent, kind), "minhash-near"))
+    held.append(_confirmed(held[-1].frame, texts, words, percent, kind))
+    held.append(components(held[-1].frame.union(_repeated(linkable, sketches, reps))))
+    labels = held[-1].frame
+    held.append(_blocks(members, labels, reps))
+    held.append(_across(held[-1].frame, texts, words, percent, kind))
+    last = components(labels.union(held[-1].frame))
+    root = last.frame.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+    held.append(store(reps.select("digest", "id").join(root, "id", "left").select("digest", F.coalesce("component_id", "id").alias("component_id")), "minhash-roots"))
+    full = linkable.select("id", "n", "digest").join(held[-1].frame, "digest").select("id", "n", "component_id")
+    alone = sketches.where("n = 0 OR id IS NULL").select("id", "n").join(root, "id", "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
+    out = store(full.union(alone), "minhash-out")
+    for x in [*held, last]:
+        x.drop()
+    kept = F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept")
+    return out.frame.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept)

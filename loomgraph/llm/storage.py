@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is named (tests, local mode)."""
+    """The cluster's shared folder; where none is named, one in the warehouse, or a temporary one in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
+        local = spark.sparkContext.master.startswith(("local[", "local-")) or spark.sparkContext.master == "local"
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/loomgraph-checkpoints")
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 

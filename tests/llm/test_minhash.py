@@ -61,8 +61,10 @@ def test_one_large_group_of_copies_and_near_copies(spark):
     assert out.kept.sum() == 51
 
 
-def test_large_buckets_are_split(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "TASK_BUCKET", 5)
+@pytest.mark.parametrize("rows_, shingles_", [(4, 2_000_000), (1024, 500)])
+def test_buckets_are_compared_in_blocks(spark, monkeypatch, rows_, shingles_):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", rows_)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles_)
     base = [f"t{i}" for i in range(100)]
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice("abcdefgh") + w if rng.random() < 0.07 else w for w in base)) for i in range(60)]
@@ -71,6 +73,31 @@ def test_large_buckets_are_split(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in out} == want
 
 
+def test_buckets_above_the_block_size(spark):
+    rng = random.Random(5)
+    base = [f"t{i}" for i in range(70)]
+    rows = [(i, " ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.03 else w for w in base)) for i in range(3600)]
+    sets = [minhash.shingles(t, 2) for _, t in rows]
+    keys, sizes = np.unique(np.concatenate([minhash.band_keys(minhash.signature(s)) for s in sets]), return_counts=True)
+    assert sizes.max() > minhash.BLOCK_ROWS
+    out = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    names, seen = np.unique(np.concatenate(sets), return_counts=True)
+    names = names[seen > 1]
+    grid = np.stack([np.isin(names, s) for s in sets]).astype(np.float32)
+    size = np.array([len(s) for s in sets])
+    common = grid @ grid.T
+    linked = 100 * common >= 80 * (size[:, None] + size[None, :] - common)
+    np.fill_diagonal(linked, True)
+    want = np.arange(len(rows))
+    while True:
+        least = np.where(linked, want[None, :], len(rows)).min(1)
+        if (least == want).all():
+            break
+        want = least
+    assert out == dict(enumerate(want.tolist()))
+    assert len(set(out.values())) > 5
+
+
 def test_signature_is_an_unbiased_estimate():
     a, b = np.arange(0, 400, dtype=np.uint64), np.arange(100, 500, dtype=np.uint64)
     share = np.mean(minhash.signature(a, 2048) == minhash.signature(b, 2048))
