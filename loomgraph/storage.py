@@ -16,9 +16,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark) -> str:
-    """The folder that all executors share: the session's checkpoint folder, else one of our own."""
+    """The folder that all executors share: the session's checkpoint folder, else one in the warehouse, or a temporary one in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
+        local = spark.sparkContext.master.startswith(("local[", "local-")) or spark.sparkContext.master == "local"
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/loomgraph-checkpoints")
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
