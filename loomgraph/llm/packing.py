@@ -9,6 +9,7 @@ sizes travel, never tokens.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +24,9 @@ from loomgraph.llm.bpe_counts import SPLIT_PATTERN
 from loomgraph.llm.storage import Stored, store
 
 CAPACITY = 2048
+#: Longer runs of white space aren't given to tiktoken (its pattern backtracks over them; it fails near a million).
+LONG_RUN = 50_000
+_long_run = re.compile(r"\s{%d}" % LONG_RUN).search
 
 
 class BestFit:
@@ -65,7 +69,8 @@ class Encoder:
     """The ids that ``tokenizers`` gives for a byte-level BPE file, as little-endian 32-bit bytes.
 
     ``fast`` names the same vocabulary as plain ranks: tiktoken then encodes, about four times as fast and with
-    equal ids (tests compare all code points); texts that hold a special token's string still go to ``tokenizers``.
+    equal ids (tests compare code points and texts); texts that hold a special token's string, and texts with so long a run
+    of white space that tiktoken's pattern would run out of stack, still go to ``tokenizers``.
     """
 
     def __init__(self, path: str, fast: str | None):
@@ -82,7 +87,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("packing", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.specials):
+        if self.fast is None or any(s in text for s in self.specials) or (len(text) > LONG_RUN and _long_run(text)):
             ids = self.slow.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
@@ -154,16 +159,18 @@ def pack_documents(
     ``capacity`` are cut, the first piece taking what is left over. Repeated rows and null ids are packed as rows of
     their own; other columns are ignored; no rows in, none out. Sequences are gapless from offset 0.
 
-    Bounds: a task holds ``block_pieces`` sizes (not tokens); a tree node holds at most ``node_bins`` open bins from
-    each child, the fullest beyond it are closed as they are, which costs a little room and never a row. The number
-    of tree levels is log(partitions) to base ``fan_in``. Bin ids follow from partition and order and are stored
-    before anything reads them, so a task that runs again changes nothing.
+    Bounds: a task holds ``block_pieces`` sizes (not tokens). A node whose open bins are more than ``node_bins`` deals
+    them in turn, by fill, into lanes of that size, and lanes of the same number meet in the next node: every open bin
+    goes on to the root, and no task holds more than ``fan_in * node_bins``. The number of tree levels is
+    log(partitions) to base ``fan_in``. Bin ids follow from partition and order and are stored before anything reads
+    them, so a task that runs again changes nothing. Texts of any length are read whole.
     """
     encode = lambda: load_encoder(vocabulary, fast_vocabulary).encode
-    leaf = store(_local(docs, encode, capacity, id_col, text_col, docs.schema[id_col].dataType.simpleString(), block_pieces), "pack-leaf").frame
+    held = [store(_local(docs, encode, capacity, id_col, text_col, docs.schema[id_col].dataType.simpleString(), block_pieces), "pack-leaf")]
+    leaf = held[0].frame
     closed = int(capacity * nearly_full)
     bins = leaf.where(F.col("offset") == 0).select("bin", "fill")
-    open_bins = bins.where(F.col("fill") < closed).withColumn("node", F.shiftright("bin", 40))
+    open_bins = bins.where(F.col("fill") < closed).withColumn("node", F.shiftright("bin", 40)).withColumn("lane", F.lit(0))
     width = int(open_bins.agg(F.max("node")).first()[0] or 0) + 1
     moves: list[DataFrame] = []
     level: Stored | None = None
@@ -177,23 +184,26 @@ def pack_documents(
             head = np.full(len(fill), -1, np.int64)
             at_start = offset == 0
             head[to[at_start]] = names[at_start]
-            order, going = np.lexsort((head, -fill)), np.ones(len(fill), bool)
-            going[fill >= closed] = False
-            rest = order[going[order]]
-            going[rest[: max(0, len(rest) - node_bins)]] = False
-            return pd.DataFrame({"bin": names, "to_bin": head[to], "shift": offset, "fill": fill[to], "going": going[to], "node": key[0]})
-
-        grouped = open_bins.withColumn("node", F.floor(F.col("node") / fan_in).cast("long")).groupBy("node")
-        level = store(grouped.applyInPandas(node, "bin bigint, to_bin bigint, shift bigint, fill bigint, going boolean, node bigint"), "pack-level")
+            order = np.lexsort((head, -fill))
+            rest = order[fill[order] < closed]
+            lane = np.full(len(fill), -1, np.int32)
+            lane[rest] = np.arange(len(rest)) % max(1, -(-len(rest) // node_bins))
+            return pd.DataFrame({"bin": names, "to_bin": head[to], "shift": offset, "fill": fill[to], "lane": lane[to], "node": key[0]})
+
+        grouped = open_bins.withColumn("node", F.floor(F.col("node") / fan_in).cast("long")).groupBy("node", "lane")
+        level = store(grouped.applyInPandas(node, "bin bigint, to_bin bigint, shift bigint, fill bigint, lane int, node bigint"), "pack-level")
+        held.append(level)
         moves.append(level.frame.select("bin", "to_bin", "shift"))
         if width <= 1:
             break
-        open_bins = level.frame.where(F.col("going") & (F.col("shift") == 0)).select(F.col("to_bin").alias("bin"), "fill", "node")
-    placed = _compose(moves)
-    return (
-        leaf.join(placed, "bin", "left")
-        .select(id_col, "piece", "start", "length", "ids_crc32", F.coalesce("to_bin", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+        open_bins = level.frame.where((F.col("lane") >= 0) & (F.col("shift") == 0)).select(F.col("to_bin").alias("bin"), "fill", "node", "lane")
+    placed = leaf.join(_compose(moves), "bin", "left").select(
+        id_col, "piece", "start", "length", "ids_crc32", F.coalesce("to_bin", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")
     )
+    out = store(placed, "pack-out").frame
+    for x in held:
+        x.drop()
+    return out
 
 
 def _compose(moves: list[DataFrame]) -> DataFrame:

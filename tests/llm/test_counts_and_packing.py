@@ -68,6 +68,19 @@ def test_packs_a_table_close_to_the_bound(spark, sf):
     assert frame.sequence_id.nunique() <= np.ceil(frame.length.sum() / 2048) + 3
 
 
+def test_lanes_take_every_open_bin(spark):
+    docs = spark.createDataFrame([(i, "word " * (1 + 37 * i % 900)) for i in range(200)], "doc_id long, text string").repartition(12)
+    frame = check(docs, pack_documents(docs, PATH, fast_vocabulary=FAST, block_pieces=20, node_bins=3, fan_in=2))
+    whole = check(docs, pack_documents(docs, PATH, fast_vocabulary=FAST))
+    assert frame.sequence_id.nunique() <= 1.1 * whole.sequence_id.nunique()
+
+
+def test_very_long_runs(spark):
+    texts = [" " * 2_000_000, "a" + "\n" * 1_200_000 + "b", "\t" * 60_000 + "x " * 60_000, "z" * 300_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(docs, pack_documents(docs, PATH, fast_vocabulary=FAST))
+
+
 def test_nothing_to_pack(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
