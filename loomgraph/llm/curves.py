@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Each curve projects the vectors on a few random directions, shifts them by a random offset and orders them along a
-Hilbert curve. Spark range-partitions each order into blocks of about ``block_rows`` vectors. A query goes to the
-blocks around its own place, each of which answers with its nearest by exact inner product; the answers of all
-windows and curves merge.
+Hilbert curve. Spark range-partitions each order into blocks of neighbouring keys. A query goes to the blocks around
+its own place, each of which answers with its nearest by exact inner product; the answers of all windows and curves
+merge.
 """
 
 from __future__ import annotations
@@ -13,14 +13,17 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.storage import store
 
 #: Most vectors, by hash of their id, on which the projections' ranges are fitted.
 FIT_ROWS = 10_000
-BITS = 11
+#: Bits of a curve's key, over all axes; the rest of the 63 are a hash that parts equal places.
+KEY_BITS = 46
+#: Most blocks of a curve (their bounds reach the driver); beyond it blocks are dealt into sub-blocks by hash. Small tables have up to ``FINE`` blocks, so that windows come near their share.
+MOST_BLOCKS, FINE, LEAST_ROWS = 4096, 72, 256
 #: Queries that a task answers for its block.
 QUERIES_A_TASK = 16_384
 
@@ -58,7 +61,7 @@ class Curves:
     def __init__(self, fitted: np.ndarray, width: int, curves: int, dims: int, seed: int):
         rng = np.random.default_rng(seed)
         dims = min(dims, width)
-        self.dims = dims
+        self.dims, self.bits = dims, min(11, KEY_BITS // dims)
         self.turns = [np.linalg.qr(rng.normal(size=(width, width)))[0][:, :dims] for _ in range(curves)]
         self.shifts = rng.random((curves, dims))
         self.low, self.span = [], []
@@ -74,8 +77,8 @@ class Curves:
         out = np.empty((len(vectors), len(self.turns)), np.int64)
         for c, turn in enumerate(self.turns):
             unit = np.clip((vectors @ turn - self.low[c]) / self.span[c], 0, 1) * 0.5 + self.shifts[c] * 0.5
-            cells = np.minimum((unit * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
-            out[:, c] = (hilbert_keys(cells, BITS) << np.uint64(17) | salt).view(np.int64)
+            cells = np.minimum((unit * (1 << self.bits)).astype(np.int64), (1 << self.bits) - 1)
+            out[:, c] = (hilbert_keys(cells, self.bits) << np.uint64(17) | salt).view(np.int64)
         return out
 
 
@@ -95,9 +98,9 @@ def nearest(
     queries: Column,
     *,
     k: int = 20,
-    curves: int = 8,
-    dims: int = 4,
-    window: float = 0.3,
+    curves: int = 16,
+    dims: int = 8,
+    window: float = 0.055,
     block_rows: int = 4096,
     seed: int = 5,
     id_col: str = "vec_id",
@@ -110,10 +113,11 @@ def nearest(
     nor do rows without an id, nor those whose length isn't the most frequent one (ties: the longer). Rows that share
     an id count as one (the one whose vector sorts first). Other columns are ignored; no rows in, none out.
 
-    ``window`` is the share of each curve's order that a query sees, so recall doesn't fall as the table grows (on
-    isotropic vectors no narrower window reaches 0.9, see the README); blocks are of bounded size. Equal vectors
-    (one may fill a third of the table) are indexed and searched once: their ``k + 1`` least ids stand for them, which
-    is all that any answer can use. A query's row is sent to the blocks of its window, the others to one block a curve.
+    ``window`` is the share of each curve's order that a query sees, so recall doesn't fall as the table grows (how
+    narrow it can be depends on the vectors, see the README); the windows of all curves together are less than the
+    table. Blocks are of bounded size. Equal vectors (one may fill a third of the table) are indexed and searched
+    once: their ``k + 1`` least ids stand for them, which is all that any answer can use. A query's row is sent to the
+    blocks of its window, the others to one block a curve.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
@@ -128,11 +132,14 @@ def nearest(
         return spark.createDataFrame([], result)
     width = widths["width"]
     rows = rows.where(F.size("v") == width).groupBy("id").agg(F.min(F.struct("v", "q")).alias("r")).select("id", "r.v", "r.q")
-    rows = store(rows, "ann-rows").frame
-    # one row for each distinct vector, with its k + 1 least ids: partial aggregation by salt first, as one vector may be hot
-    salted = rows.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids"), F.max("q").alias("q"))
-    unique = salted.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.max("q").alias("q"))
-    unique = store(unique.select(F.xxhash64(F.element_at("ids", 1)).alias("h"), F.element_at("ids", 1).alias("id"), "ids", "v", "q"), "ann-unique").frame
+    held = [store(rows, "ann-rows")]
+    rows = held[0].frame
+    # one row for each distinct vector, with its k + 1 least ids: the limit acts before the shuffle, as one vector may be hot
+    least = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
+    ids = least.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    unique = ids.join(rows.groupBy("v").agg(F.max("q").alias("q")), "v")
+    held.append(store(unique.select(F.xxhash64(F.element_at("ids", 1)).alias("h"), F.element_at("ids", 1).alias("id"), "ids", "v", "q"), "ann-unique"))
+    unique = held[-1].frame
     count = unique.count()
     sample = unique.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < min(1.0, 1.1 * FIT_ROWS / count)).select("id", "v").orderBy("id").limit(FIT_ROWS).toPandas()
     index = Curves(np.array(sample["v"].tolist(), np.float64).reshape(len(sample), -1), width, curves, dims, seed)
@@ -145,7 +152,8 @@ def nearest(
             keys = sent.value.keys(_stack(b.column(1)), np.asarray(b.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(keys[:, c]) for c in range(curves)], names=[f"k{c}" for c in range(curves)])
 
-    blocks = max(1, math.ceil(count / block_rows))
+    blocks = min(MOST_BLOCKS, max(1, math.ceil(count / block_rows), min(FINE, math.ceil(count / LEAST_ROWS))))
+    subs = math.ceil(count / (blocks * block_rows))
     probs = [i / blocks for i in range(1, blocks)]
     if probs:
         keys = unique.select("h", "v").mapInArrow(keyed, ", ".join(f"k{c} bigint" for c in range(curves)))
@@ -153,7 +161,7 @@ def nearest(
     else:
         cuts = np.zeros((curves, 0), np.int64)
     ends = spark.sparkContext.broadcast(cuts)
-    reach = min(blocks, max(1, math.ceil(window * blocks)) + 1)
+    reach = min(blocks, max(1, math.ceil(window * blocks)))
     # a block's queries go to several tasks, each with the block's vectors, once they are more than a task should hold
     parts = max(1, math.ceil(unique.where("q").count() * reach / blocks / QUERIES_A_TASK))
 
@@ -162,15 +170,16 @@ def nearest(
             if not b.num_rows:
                 continue
             keys, q = sent.value.keys(_stack(b.column(2)), np.asarray(b.column(0))), np.asarray(b.column(3))
+            h = np.asarray(b.column(0))
             for c in range(curves):
                 at = np.searchsorted(ends.value[c], keys[:, c], side="right")
-                first = np.clip(at - reach // 2, 0, blocks - reach)
-                mine = np.asarray(b.column(0))[q] % parts
-                index = [*(np.arange(len(at)) for _ in range(parts)), *(np.flatnonzero(q) for _ in range(reach))]
-                to = np.concatenate([*(at * parts + i for i in range(parts)), *((first[q] + i) * parts + mine for i in range(reach))])
+                first = np.clip(at - reach // 2, 0, blocks - reach)[q]
+                own = at * subs + h % subs
+                index = [*(np.arange(len(at)) for _ in range(parts)), *(np.flatnonzero(q) for _ in range(reach * subs))]
+                to = np.concatenate([*(own * parts + i for i in range(parts)), *((first * subs + i) * parts + h[q] // subs % parts for i in range(reach * subs))])
                 ask = np.arange(len(to)) >= len(at) * parts
                 take = pa.array(np.concatenate(index))
-                yield pa.RecordBatch.from_arrays([pa.array((to + c * blocks * parts).astype(np.int64)), pa.array(ask), b.column(1).take(take), b.column(2).take(take)], names=["block", "ask", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array((to + c * blocks * subs * parts).astype(np.int64)), pa.array(ask), b.column(1).take(take), b.column(2).take(take)], names=["block", "ask", "id", "v"])
 
     near = "array<struct<s:double,id:" + kind + ">>"
 
@@ -197,14 +206,18 @@ def nearest(
     placed = unique.select("h", "id", "v", "q").mapInArrow(dealt, f"block bigint, ask boolean, id {kind}, v array<{element}>")
     answers = placed.groupBy("block").applyInArrow(search, f"id {kind}, near {near}")
     merged = answers.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k + 1).alias("near"))
-    merged = store(merged, "ann-near").frame
+    held.append(store(merged, "ann-near"))
+    merged = held[-1].frame
     # each found vector stands for its least ids
     others = merged.select("id", F.explode("near").alias("n")).select("id", F.col("n.s").alias("s"), F.col("n.id").alias("rep"))
     others = others.join(unique.select(F.col("id").alias("rep"), "ids"), "rep")
     lists = others.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("s").alias("s"), i.alias("id")))))), 1, k + 1).alias("near"))
     asked = rows.where("q").select(F.col("id").alias("query_id"), "v").join(unique.select("id", "v"), "v").select("query_id", "id")
     final = asked.join(lists, "id").select("query_id", F.posexplode(F.slice(F.filter("near", lambda n: n["id"] != F.col("query_id")), 1, k)).alias("pos", "n"))
-    return final.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("n.id").alias(named), (-F.col("n.s")).alias("score"))
+    out = store(final.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("n.id").alias(named), (-F.col("n.s")).alias("score")), "ann-out").frame
+    for x in held:
+        x.drop()
+    return out
 
 
 def brute_force(frame: pd.DataFrame, query_ids: list[int], k: int) -> pd.DataFrame:

@@ -31,6 +31,26 @@ def test_recall_and_scores(spark, block_rows):
     assert not (out.query_id == out.vec_id).any()
 
 
+def test_recall_on_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    out = curves.nearest(df, F.col("vec_id") % 20 == 0, k=20).toPandas()
+    frame = df.toPandas().rename(columns={"vec_id": "id", "embedding": "v"})
+    queries = [int(i) for i in frame.id if i % 20 == 0]
+    exact = curves.brute_force(frame[["id", "v"]], queries, 20)
+    both = exact.merge(out, left_on=["query_id", "id"], right_on=["query_id", "vec_id"])
+    assert len(both) / len(exact) >= 0.9
+
+
+def test_sub_blocks_answer_as_one(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(600, 6)).tolist())], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(curves, "MOST_BLOCKS", 3)
+    want = curves.nearest(df, F.col("vec_id") % 20 == 0, k=5).collect()
+    monkeypatch.setattr(curves, "QUERIES_A_TASK", 2)
+    got = curves.nearest(df, F.col("vec_id") % 20 == 0, k=5, block_rows=50).collect()
+    assert sorted(got) == sorted(want) and len(got) == 150
+
+
 def test_ties_hot_vectors_and_unusable_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.0]) for i in range(100)] + [(100 + i, [0.0, 1.0 + i]) for i in range(5)]
