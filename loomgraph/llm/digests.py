@@ -29,6 +29,8 @@ MOST = 2 * BUCKETS
 LENGTH_WEIGHT, RATIO_WEIGHT = 6, 2
 #: Bytes hashed at a time: bounds the memory of a very long text.
 BLOCK = 1 << 20
+#: Bytes of input (as the planner knows it, compressed in files) for a range of ids, and most ranges.
+RANGE_BYTES, MOST_RANGES = 16 << 20, 8192
 
 
 @lru_cache(maxsize=1)
@@ -101,10 +103,11 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     Rows are dealt into id ranges and sorted there, so one shuffle moves each text once; a range's first document is
     also sent to the range before it. A task reads its rows as a stream and holds two documents and one Arrow batch.
-    Only the ranges' bounds (one or two ids a range) reach the driver.
+    Only the ranges' bounds (one or two ids a range, at most ``MOST_RANGES``) reach the driver; their number follows from
+    the size of the input. Texts of any length are read whole. Rows of one id lie in one range.
     """
     spark = docs.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions or _ranges(docs)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = docs.schema[id_col].dataType
     probs = [i / parts for i in range(1, parts)]
@@ -132,6 +135,12 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     return dealt.select("id", "text", "span", "ahead").mapInArrow(_pairs(id_col, kind), _schema(id_col, kind))
 
 
+def _ranges(docs: DataFrame) -> int:
+    """As many ranges as there are shuffle partitions, and more if the planner's estimate of the input gives each over ``RANGE_BYTES``."""
+    least, size = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return least if size > 1 << 50 else min(MOST_RANGES, max(least, -(-size // RANGE_BYTES)))
+
+
 def _schema(id_col: str, kind: T.DataType) -> T.StructType:
     return T.StructType.fromDDL(f"{id_col} {kind.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 

@@ -26,6 +26,22 @@ def test_counts_equal_a_plain_loop():
     assert digests.bucket_counts(data).tolist() == want
 
 
+def test_blocks_of_long_texts_count_as_one(monkeypatch):
+    data = bytes(range(256)) * 40
+    whole = digests.fingerprint(data)
+    for block in (1, 5, 999, len(data) - 4, len(data)):
+        monkeypatch.setattr(digests, "BLOCK", block)
+        assert digests.fingerprint(data) == whole
+
+
+def test_texts_beyond_a_block(spark):
+    rows = [(3, "abc def " * 200_000), (2, "é" * 1_500_000), (1, "short")]
+    out = {r.doc_id: r for r in digests.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string"), partitions=2).collect()}
+    for (i, t), (_, f) in zip(rows, rows[1:] + rows[:1], strict=True):
+        assert out[i].n_chars == len(t) and out[i].fingerprint == digests.fingerprint(t.encode())
+        assert out[i].edited_sha256 == hashlib.sha256(digests.edited(t, f).encode()).hexdigest()
+
+
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_edited_texts(spark, sf, partitions):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()] + [(10_000, None), (10_001, ""), (-5, "ab"), (-6, "日本語" * 5000)]
@@ -82,3 +98,11 @@ def test_reader_frames_and_checks():
         with pytest.raises(warc.WarcError):
             list(warc.read_records(io.BytesIO(gzip.compress(bad))))
     assert list(warc.read_records(io.BytesIO(b""))) == []
+
+
+def test_null_and_repeated_page_ids(spark):
+    rows = [(None, "x" * 200), (None, "x" * 200), (5, "x" * 200), (5, "x" * 200), (6, "x" * 200), (7, "y" * 200), (None, "z" * 200)]
+    out = warc.archive_round_trip(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")).collect()
+    assert len(out) == len(rows) and sorted(r.page_id or 0 for r in out) == [0, 0, 0, 5, 5, 6, 7]
+    by = {i: {(r.record_type, r.refers_to) for r in out if r.page_id == i} for i in (5, 6, 7)}
+    assert by == {5: {("response", None)}, 6: {("revisit", 5)}, 7: {("response", None)}}
