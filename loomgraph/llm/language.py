@@ -280,7 +280,8 @@ def identify(docs: DataFrame, crf: Crf, *, folds: int = 3, held_out: int = 1, id
     """``id, held_out, lang_pred, score`` (and the columns of ``keep``) for every row of ``docs``, from its whole text, also where it has no spaces.
 
     A null text, an empty one and one without a letter are ``und`` with score 0, and so is every text if there was
-    nothing to learn from. Ties between languages go to the first by name. Repeated rows each give a row. One narrow
+    nothing to learn from. Ties between languages go to the first by name. Repeated rows each give a row; other columns than those of ``keep`` are ignored, whatever their names; no rows in, none out.
+    One narrow
     pass; the model (a bounded table of hashed weights and a lexicon of the sample) is broadcast.
     """
     sent = docs.sparkSession.sparkContext.broadcast(crf)

@@ -249,7 +249,7 @@ def score_documents(docs: DataFrame, model: Model, *, folds: int = 5, id_col: st
     """``id, held_out, score, predicted`` (and the columns of ``keep``) for every row of ``docs``.
 
     Scores lie in [0, 1] and follow from the whole text alone, also where it has no spaces; null and empty texts, and texts without a word, score as the
-    middle one of the clean training documents. Repeated rows each give a row. One narrow pass; the model (1 MB, whatever the corpus) is
+    middle one of the clean training documents. Repeated rows each give a row; other columns than those of ``keep`` are ignored, whatever their names; no rows in, none out. One narrow pass; the model (1 MB, whatever the corpus) is
     broadcast.
     """
     spark = docs.sparkSession
@@ -270,7 +270,7 @@ def score_documents(docs: DataFrame, model: Model, *, folds: int = 5, id_col: st
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Train on ``labels`` and score every document."""
+    """Train on ``labels`` and score every document: see ``train`` and ``score_documents`` for nulls, long texts, repeated rows and empty tables."""
     return score_documents(docs, train(docs, labels, **options))
 
 

@@ -99,6 +99,42 @@ def test_a_passage_begins_at_any_word():
     assert toxicity._worst(s)[0] == toxicity._worst(s[1:])[0] == 2.5
 
 
+def test_scores_equal_the_plain_formula(spark):
+    """A document's score from each n-gram's weight, word by word, without memo, arrays or partitions."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score_documents(docs, model).collect()}
+    for doc, text in docs.select("doc_id", "text").limit(150).collect():
+        shares = [sum(model.weights[g] for g in grams) / len(grams) for w in toxicity.words_of(text or "") if (grams := toxicity.grams(w))]
+        pairs = sorted((sum(shares[i : i + 2]) / 2 for i in range(len(shares) - 1)), reverse=True) or shares[:1]
+        x = [pairs[0], sum(pairs[:4]) / len(pairs[:4])] if pairs else model.floor
+        z = x[0] * model.slopes[0] + x[1] * model.slopes[1] + model.shift
+        assert abs(got[doc].score - 1 / (1 + np.exp(-z))) < 1e-9 and got[doc].predicted == int(got[doc].score >= 0.5)
+
+
+def test_predictions_equal_summed_word_labels(spark):
+    """A document's language from the word labels of its chains, one text at a time."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    crf = language.train(docs)
+    got = {r.doc_id: r for r in language.identify(docs, crf).collect()}
+    for doc, text in docs.select("doc_id", "text").limit(150).collect():
+        words = [w for t in (text or "").split() for w in language.words_of(t)]
+        total = np.zeros(len(crf.labels))
+        for at in range(0, len(words), language.CHAIN):
+            emit = crf.emissions(words[at : at + language.CHAIN])
+            total += language.forward_backward(emit[None], crf.trans, np.ones((1, len(emit)), bool))[0][0].sum(axis=0)
+        want = (crf.labels[int(total.argmax())], total.max() / len(words)) if words else ("und", 0.0)
+        assert got[doc].lang_pred == want[0] and abs(got[doc].score - want[1]) < 1e-4
+
+
+def test_extra_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "the and of", 0.5, "x"), (2, None, 0.5, "y")], "doc_id long, text string, score double, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.toxicity(docs, labels).columns == ["doc_id", "held_out", "score", "predicted"]
+    assert language.language_id(docs).columns == ["doc_id", "held_out", "lang_pred", "score"]
+    assert language.language_id(docs.limit(0)).isEmpty() and toxicity.toxicity(docs.limit(0), labels).isEmpty()
+
+
 @pytest.mark.parametrize("values", [[], [0], [1]])
 def test_one_class_or_none(spark, values):
     docs = spark.createDataFrame([(i, "some words here") for i in range(30)], "doc_id long, text string")

@@ -63,12 +63,34 @@ def test_packing_is_whole(frames):
     check(frames[4], frames[5])
 
 
+def test_mixture_follows_its_draws(frames):
+    import hashlib
+
+    from loomgraph.llm import mixing
+
+    chance = {r.doc_id: r.probability for r in mixing.mix(frames[3]).collect()}
+    draw = lambda i: int(hashlib.sha256(str(i).encode()).hexdigest()[:12], 16) / (1 << 48)
+    assert {r.doc_id for r in frames[4].collect()} == {i for i, p in chance.items() if draw(i) < p}
+
+
+def test_near_duplicates_among_repeated_rows_and_null_ids(spark):
+    a, b, c = ("word%d other%d more%d " * 8 % tuple(range(k, k + 24)) for k in (0, 100, 200))
+    rows = [(5, a), (5, a), (6, a), (None, a), (None, b), (None, b), (7, c), (7, c), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 9) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.drop_near_duplicates(spark, docs, SF)
+    assert got.columns == cp.COLUMNS
+    assert sorted((r.doc_id or -1, r.text or "") for r in got.collect()) == sorted([(5, a), (-1, b), (7, c), (8, ""), (-1, "")])
+
+
 def test_empty_and_null_rows(spark, tmp_path):
-    docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "a", 0), (3, "the and of that " * 5, "en", None, 80), (3, "the and of that " * 5, "en", None, 80), (None, "the and of", None, "b", 10)], "doc_id long, text string, lang string, source string, n_chars long")
-    for data in (docs, docs.limit(0)):
-        at = data
+    docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "a", 0), *[(7, "the and of that " * 5, "en", None, 80)] * 2, *[(8, "the and of that " * 5, "en", None, 80)] * 2, (None, "the and of", None, "b", 10)], "doc_id long, text string, lang string, source string, n_chars long")
+    counts = {}
+    for rows in ("all", "none"):
+        at, counts[rows] = docs if rows == "all" else docs.limit(0), []
         for k, (_, stage) in enumerate(cp.STAGES):
-            path = str(tmp_path / f"{k}-{data is docs}")
+            path = str(tmp_path / f"{k}-{rows}")
             stage(spark, at, SF).write.parquet(path)
             at = spark.read.parquet(path)
-        assert at.count() >= 0
+            counts[rows].append(at.count())
+    # two rows without letters go; ids 7 and 8 hold copies of one text
+    assert counts["all"][:3] == [7, 5, 2] and counts["none"] == [0] * 5
