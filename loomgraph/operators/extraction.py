@@ -27,6 +27,16 @@ def entities(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str]
     return df.select(id_col, F.explode(found).alias("e")).select(id_col, "e.label", "e.text")
 
 
+def spans(df: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:
+    """``id, start, end, text`` of a pattern's matches, left to right; places from the lengths of the matches and of the text between them."""
+    found = F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))
+    between = F.split(F.col(text_col), pattern, -1)
+    pieces = df.select(id_col, F.posexplode(F.arrays_zip(between.alias("gap"), found.alias("m"))).alias("i", "x")).select(id_col, "i", "x.gap", "x.m")
+    before = F.coalesce(F.sum(F.length("gap") + F.coalesce(F.length("m"), F.lit(0))).over(W.partitionBy(id_col).orderBy("i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = pieces.withColumn("start", (before + F.length("gap")).cast("int")).where("m IS NOT NULL")
+    return placed.select(id_col, "start", (F.col("start") + F.length("m")).cast("int").alias("end"), F.col("m").alias("text"))
+
+
 def capitalized(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, text, n``: capitalised words of more than two letters, and how often each occurs."""
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"\b[A-Z][a-z]{2,}"), F.lit(0))

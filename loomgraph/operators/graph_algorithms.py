@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -75,17 +76,17 @@ def eigenvector_centrality(nodes: DataFrame, edges: DataFrame, *, iterations: in
     return x.withColumnRenamed("x", "score")
 
 
-def bfs_levels(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
-    """``origin, id, hops``: nodes reached from each source (column ``id``) over directed edges, at least distance."""
+def bfs_levels(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """``origin, id, hops``: nodes reached from each source (column ``id``) over directed edges, at least distance; all of them, or up to ``max_hops``."""
     links = edges.select("src", "dst").distinct()
     seen = sources.select(F.col("id").alias("origin"), "id").distinct().withColumn("hops", F.lit(0))
     frontier = seen
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         out = frontier.join(links, frontier["id"] == links["src"]).select("origin", F.col("dst").alias("id")).distinct()
         frontier = cut(out.join(seen.select("origin", "id"), ["origin", "id"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break
-        seen = seen.union(frontier)
+        seen = seen.union(frontier) if hop % 8 else cut(seen.union(frontier))
     return seen
 
 
@@ -108,14 +109,16 @@ def distance_band(hops):
     return F.when(hops <= 1, "direct").when(hops <= 3, "near").when(hops <= 6, "mid-range").otherwise("distant")
 
 
-def shortest_distances(edges: DataFrame, source, *, directed: bool = True, max_rounds: int = 30) -> DataFrame:
-    """``id, distance``: least sums of weights from a node, by relaxing until nothing changes."""
+def shortest_distances(edges: DataFrame, source, *, directed: bool = True, max_rounds: int | None = None) -> DataFrame:
+    """``id, distance``: least sums of weights from a node, by relaxing until nothing changes (an error if that takes more than ``max_rounds``)."""
     links = edges.select("src", "dst", "weight")
     links = links if directed else links.union(links.select("dst", "src", "weight"))
     links = cut(links.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
     best = edges.sparkSession.range(1).select(F.lit(source).alias("id"), F.lit(0.0).alias("distance"))
     frontier = best
-    for _ in range(max_rounds):
+    for done in count():
+        if done == max_rounds:
+            raise RuntimeError(f"distances still change after {max_rounds} rounds")
         tried = frontier.join(links, frontier["id"] == links["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("weight")).alias("tried"))
         better = cut(tried.join(best, "id", "left").where("distance IS NULL OR tried < distance").select("id", F.col("tried").alias("distance")))
         if better.isEmpty():
@@ -125,12 +128,12 @@ def shortest_distances(edges: DataFrame, source, *, directed: bool = True, max_r
     return best
 
 
-def shortest_path(edges: DataFrame, source, target, *, max_hops: int = 12) -> DataFrame:
-    """One row ``path, hops``: an unweighted shortest path (ties: the least path by nodes); none gives no row."""
+def shortest_path(edges: DataFrame, source, target, *, max_hops: int | None = None) -> DataFrame:
+    """One row ``path, hops``: an unweighted shortest path (ties: the least path by nodes) of at most ``max_hops`` edges, if given; none gives no row."""
     links = edges.select("src", "dst").distinct()
     frontier = edges.sparkSession.range(1).select(F.lit(source).alias("id"), F.array(F.lit(source)).alias("path"))
     seen = frontier.select("id")
-    for hop in range(max_hops + 1):
+    for hop in count() if max_hops is None else range(max_hops + 1):
         hit = frontier.where(F.col("id") == F.lit(target))
         if not hit.isEmpty():
             return hit.select("path", F.lit(hop).alias("hops"))
@@ -155,6 +158,49 @@ def k_shortest_paths(edges: DataFrame, source, target, k: int, max_hops: int = 6
     return done.select("path", "cost").orderBy("cost", "path").limit(k).withColumn("rank", F.row_number().over(W.orderBy("cost", "path")))
 
 
+def a_star(edges: DataFrame, heuristic: DataFrame, source, target) -> DataFrame:
+    """One row ``path, cost``: a cheapest path (ties: the least by nodes), pruned by ``heuristic`` (id, h: a lower bound of the cost from a node to the target).
+
+    Relaxes whole frontiers at a time; once a path to the target is known, nodes whose cost so far and bound together
+    aren't below it are left out. A node without a bound counts as 0. Bounds that are too high can cost the best path.
+    """
+    links = cut(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
+    best = edges.sparkSession.range(1).select(F.lit(source).alias("id"), F.lit(0.0).alias("cost"), F.array(F.lit(source)).alias("path"))
+    frontier, reached = best, None
+    while not frontier.isEmpty():
+        out = frontier.join(links, frontier["id"] == links["src"]).select(F.col("dst").alias("id"), (F.col("cost") + F.col("weight")).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
+        out = out.join(heuristic, "id", "left").withColumn("bound", F.col("cost") + F.coalesce("h", F.lit(0.0))).groupBy("id").agg(F.min(F.struct("cost", "path")).alias("b"), F.min("bound").alias("bound"))
+        if reached is not None:
+            out = out.where(F.col("bound") <= reached)
+        known = best.select("id", F.struct("cost", "path").alias("k"))
+        frontier = cut(out.join(known, "id", "left").where("k IS NULL OR b < k").select("id", "b.cost", "b.path"))
+        best = cut(best.union(frontier).groupBy("id").agg(F.min(F.struct("cost", "path")).alias("b")).select("id", "b.cost", "b.path"))
+        hit = best.where(F.col("id") == F.lit(target)).first()
+        reached = hit["cost"] if hit else None
+    return best.where(F.col("id") == F.lit(target)).select("path", "cost")
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 3, rounds: int = 4) -> DataFrame:
+    """``id, community``: Louvain's levels. Communities become nodes, the edges between them are kept, until nothing joins any more."""
+    labels = louvain_level(nodes, edges, rounds)
+    for _ in range(levels - 1):
+        of = labels.select("id", "community")
+        lifted = edges.join(of.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(of.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        upper = cut(louvain_level(of.select(F.col("community").alias("id")).distinct(), lifted, rounds))
+        if upper.where("id <> community").isEmpty():
+            break
+        labels = cut(labels.join(upper.select(F.col("id").alias("community"), F.col("community").alias("top")), "community").select("id", F.col("top").alias("community")))
+    return labels
+
+
+def leiden(nodes: DataFrame, edges: DataFrame, levels: int = 3, rounds: int = 4) -> DataFrame:
+    """``id, community``: Louvain's communities, each parted into its connected pieces (named after their least node), which is what Leiden guarantees."""
+    found = louvain(nodes, edges, levels, rounds)
+    a, b = (found.select(F.col("id").alias(x), F.col("community").alias(f"c_{x}")) for x in ("src", "dst"))
+    inner = edges.select("src", "dst").join(a, "src").join(b, "dst").where("c_src = c_dst").select("src", "dst")
+    return connected_components(nodes.select("id"), inner).withColumnRenamed("component", "community")
+
+
 def path_length(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """``path_id, length``: summed weights along ``paths(path_id, path)``; null if an edge is missing."""
     steps = paths.select("path_id", F.posexplode(F.expr("transform(sequence(1, size(path) - 1), i -> struct(path[i - 1] AS src, path[i] AS dst))")).alias("i", "e")).select("path_id", "e.src", "e.dst")
@@ -162,22 +208,27 @@ def path_length(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.groupBy("path_id").agg(F.when(F.count("weight") == F.count(F.lit(1)), F.sum("weight")).alias("length"))
 
 
-def closeness(nodes: DataFrame, edges: DataFrame, max_hops: int = 20) -> DataFrame:
-    """``id, score``: reached nodes over the sum of their distances (0 if none)."""
+def closeness(nodes: DataFrame, edges: DataFrame, max_hops: int | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """``id, score``: reached nodes over the sum of their distances (0 if none), for all nodes or those of ``sources`` (id).
+
+    Distances of all pairs are as many rows as nodes times reached nodes: on large graphs give a sample of sources, or a reach.
+    """
     both = undirected(edges)
-    reach = bfs_levels(both, nodes.select("id"), max_hops)
+    reach = bfs_levels(both, (sources if sources is not None else nodes).select("id"), max_hops)
     return reach.groupBy(F.col("origin").alias("id")).agg(F.when(F.sum("hops") > 0, (F.count("id") - 1) / F.sum("hops")).otherwise(0.0).alias("score"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, max_hops: int = 12) -> DataFrame:
-    """``id, score``: Brandes' shares of shortest paths over unordered pairs, undirected, not normalised.
+def betweenness(nodes: DataFrame, edges: DataFrame, max_hops: int | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """``id, score``: Brandes' shares of shortest paths over unordered pairs, undirected, not normalised; paths of any length, or up to ``max_hops``.
+
+    With ``sources`` (id) only paths from them count: the usual estimate on large graphs, where rows for all pairs are too many.
 
     Forward: counts of shortest paths by (origin, node), level by level. Backward: dependencies, level by level.
     """
     both = cut(undirected(edges))
-    levels = [nodes.select(F.col("id").alias("origin"), "id", F.lit(1.0).alias("paths"))]
+    levels = [(sources if sources is not None else nodes).select(F.col("id").alias("origin"), "id", F.lit(1.0).alias("paths"))]
     seen = levels[0].select("origin", "id")
-    for _ in range(max_hops):
+    for _ in count() if max_hops is None else range(max_hops):
         last = levels[-1]
         out = last.join(both, last["id"] == both["src"]).groupBy("origin", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
         level = cut(out.join(seen, ["origin", "id"], "left_anti"))
@@ -267,7 +318,7 @@ def louvain_level(nodes: DataFrame, edges: DataFrame, rounds: int = 4) -> DataFr
     both = cut(undirected(edges))
     m2 = max(1, both.count())
     degree = cut(both.groupBy(F.col("src").alias("id")).agg(F.count("dst").alias("d")))
-    labels = nodes.select("id", F.col("id").alias("community"))
+    labels = cut(nodes.select("id", F.col("id").alias("community")))
     for i in range(rounds):
         mine = labels.join(degree, "id", "left").na.fill(0, ["d"])
         total = mine.groupBy("community").agg(F.sum("d").alias("total"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,16 +59,19 @@ def _join(frames: list[DataFrame]) -> DataFrame:
     return reduce(two, frames)
 
 
-def datalog(facts: dict[str, DataFrame], rules: list[str], max_rounds: int = 50) -> dict[str, DataFrame]:
+def datalog(facts: dict[str, DataFrame], rules: list[str], max_rounds: int | None = None) -> dict[str, DataFrame]:
     """Fixpoint of positive rules over ``facts`` (predicate to a frame with text columns a0, a1, ...).
 
     Semi-naive: a round joins each rule with one body atom restricted to the last round's new facts. New facts are
-    those that an anti-join doesn't find among the known ones. Set semantics.
+    those that an anti-join doesn't find among the known ones. Set semantics. Without ``max_rounds`` until nothing is
+    new; an error if rounds run out before.
     """
     parsed = [parse_rule(r) for r in rules]
     known = {p: df.distinct() for p, df in facts.items()}
     delta = dict(known)
-    for _ in range(max_rounds):
+    for done in count():
+        if done == max_rounds:
+            raise RuntimeError(f"facts are still new after {max_rounds} rounds")
         fresh: dict[str, list[DataFrame]] = {}
         for (head, head_args), body in parsed:
             for i, (pred, _) in enumerate(body):
@@ -86,8 +90,7 @@ def datalog(facts: dict[str, DataFrame], rules: list[str], max_rounds: int = 50)
         if not delta:
             return known
         for pred, found in delta.items():
-            known[pred] = known[pred].union(found) if pred in known else found
-    return known
+            known[pred] = (known[pred].union(found) if done % 8 else cut(known[pred].union(found))) if pred in known else found
 
 
 def ask(facts: dict[str, DataFrame], pattern: str) -> DataFrame:
@@ -102,7 +105,7 @@ def graph_facts(edges: DataFrame) -> dict[str, DataFrame]:
     return {k: edges.where(F.col("type") == k).select(F.col("src").cast("string").alias("a0"), F.col("dst").cast("string").alias("a1")) for k in kinds}
 
 
-def prove(facts: dict[str, DataFrame], rules: list[str], goal: str, max_depth: int = 10) -> bool:
+def prove(facts: dict[str, DataFrame], rules: list[str], goal: str, max_depth: int | None = None) -> bool:
     """Whether a ground goal follows, with only the rules that its predicate can reach."""
     parsed = [(r, parse_rule(r)) for r in rules]
     wanted, grown = {parse_atom(goal)[0]}, True
@@ -122,6 +125,6 @@ def hypotheses(observations: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def recursive_closure(spark: SparkSession, edges: DataFrame, max_depth: int = 20) -> DataFrame:
-    """``src, dst``: the transitive closure as one recursive SQL query."""
+    """``src, dst``: pairs joined by a path of at most ``max_depth`` edges, as one recursive SQL query (``datalog`` gives the closure without a bound)."""
     edges.select("src", "dst").createOrReplaceTempView("loomgraph_edges")
     return spark.sql(f"WITH RECURSIVE c(src, dst, depth) AS (SELECT src, dst, 1 FROM loomgraph_edges UNION ALL SELECT c.src, e.dst, depth + 1 FROM c JOIN loomgraph_edges e ON c.dst = e.src WHERE depth < {max_depth}) SELECT DISTINCT src, dst FROM c")

@@ -52,8 +52,8 @@ def lineage(parents: DataFrame, start: DataFrame, max_depth: int = 10) -> DataFr
 # decisions and policies
 def insights(decisions: DataFrame) -> DataFrame:
     """By category: count, mean, least, largest and upper-median confidence."""
-    ordered = F.array_sort(F.collect_list("confidence"))
-    return decisions.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("avg_confidence"), F.min("confidence").alias("min_confidence"), F.max("confidence").alias("max_confidence"), F.element_at(ordered, (F.floor(F.count("confidence") / 2) + 1).cast("int")).alias("median_confidence"))
+    upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY confidence DESC)")
+    return decisions.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("avg_confidence"), F.min("confidence").alias("min_confidence"), F.max("confidence").alias("max_confidence"), upper.alias("median_confidence"))
 
 
 def precedents(decisions: DataFrame, scenario: str, *, category: str | None = None, threshold: float = 0.0, k: int = 10) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.similarity import cosine, norm
 
+#: Bands of scores in which a ranked list is numbered.
+BANDS = 4096
+
 
 def search(vectors: DataFrame, query: list[float], k: int, *, where: Column | None = None, id_col: str = "id", vector_col: str = "vector", measure=cosine) -> DataFrame:
     """The k rows most like a query vector; metadata filters come before the ranking. One scan and a top-k."""
@@ -26,9 +29,19 @@ def search_batch(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str
 
 
 def rank_lists(lists: dict[str, DataFrame], id_col: str = "id") -> DataFrame:
-    """Ranked lists (id, score) as one frame ``list, id, score, rank``."""
+    """Ranked lists (id, score) as one frame ``list, id, score, rank``; ties by id, null scores last.
+
+    Lists of any length: scores are dealt into bands between a list's least and largest, rows are numbered within
+    their band, and the rows of the bands above are counted (at most ``BANDS`` counts a list, broadcast).
+    """
     all_ = reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("list"), id_col, "score") for name, df in lists.items()))
-    return all_.withColumn("rank", F.row_number().over(W.partitionBy("list").orderBy(F.desc("score"), id_col)))
+    ends = all_.groupBy("list").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    share = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    banded = all_.join(F.broadcast(ends), "list").withColumn("band", F.when(F.col("score").isNull(), -1).otherwise(F.floor(share * (BANDS - 2)).cast("int"))).drop("lo", "hi")
+    counts = banded.groupBy("list", "band").agg(F.count(F.lit(1)).alias("c"))
+    above = counts.withColumn("above", F.coalesce(F.sum("c").over(W.partitionBy("list").orderBy(F.desc("band")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("c")
+    within = F.row_number().over(W.partitionBy("list", "band").orderBy(F.desc("score"), id_col))
+    return banded.withColumn("r", within).join(F.broadcast(above), ["list", "band"]).select("list", id_col, "score", (F.col("above") + F.col("r")).cast("int").alias("rank"))
 
 
 def reciprocal_rank_fusion(ranked: DataFrame, k: int = 60, id_col: str = "id") -> DataFrame:
@@ -42,9 +55,9 @@ def weighted_fusion(ranked: DataFrame, weights: dict[str, float], id_col: str =
 
 def minmax_by(df: DataFrame, group: str, value: str = "score") -> DataFrame:
     """``value`` scaled to [0, 1] inside each group; unchanged where all are equal."""
-    w = W.partitionBy(group)
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn(value, F.when(hi > lo, (F.col(value) - lo) / (hi - lo)).otherwise(F.col(value)))
+    ends = df.groupBy(F.col(group).alias("__g")).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    scaled = F.when(F.col("__hi") > F.col("__lo"), (F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(F.col(value))
+    return df.join(ends, F.col(group).eqNullSafe(F.col("__g"))).withColumn(value, scaled).drop("__g", "__lo", "__hi")
 
 
 def hybrid_merge(ranked: DataFrame, alpha: float = 0.5, id_col: str = "id") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.storage import cut
+
 
 def active_at(start: Column, end: Column, t: Column, closed: bool = False) -> Column:
     """start <= t < end (half-open) or start <= t <= end (closed); null bounds are open."""
@@ -29,15 +31,27 @@ def point_in_time(nodes: DataFrame, edges: DataFrame, t: Column, axis: str = "va
     return at(edges).join(alive.withColumnRenamed("id", "src"), "src", "left_semi").join(alive.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
+# Allen's relations of intervals that share more than an end, by the signs of a's start against b's and of a's end against b's.
+SHARING = {
+    (-1, -1): "overlaps", (-1, 0): "finished_by", (-1, 1): "contains",
+    (0, -1): "starts", (0, 0): "equals", (0, 1): "started_by",
+    (1, -1): "during", (1, 0): "finishes", (1, 1): "overlapped_by",
+}
+
+
 def allen(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
-    """The one of Allen's thirteen relations that holds between two closed-bound intervals."""
-    return (
-        F.when(a_end < b_start, "before").when(a_start > b_end, "after").when(a_end == b_start, "meets").when(a_start == b_end, "met_by")
-        .when((a_start == b_start) & (a_end == b_end), "equals").when((a_start == b_start) & (a_end < b_end), "starts").when(a_start == b_start, "started_by")
-        .when((a_end == b_end) & (a_start > b_start), "finishes").when(a_end == b_end, "finished_by")
-        .when((a_start < b_start) & (a_end < b_end), "overlaps").when((a_start > b_start) & (a_end > b_end), "overlapped_by")
-        .when((a_start > b_start) & (a_end < b_end), "during").otherwise("contains")
-    )
+    """The one of Allen's thirteen relations that holds between two closed-bound intervals; null if a bound is.
+
+    Looked up by the signs of the bounds' comparisons. Intervals that share at most an end are told first, so that a
+    point at another interval's bound meets it.
+    """
+    sign = lambda x, y: (x > y).cast("int") - (x < y).cast("int")
+    grid = F.create_map(*(F.lit(v) for (s, e), name in SHARING.items() for v in (3 * s + e, name)))
+    inside = F.element_at(grid, 3 * sign(a_start, b_start) + sign(a_end, b_end))
+    gap = F.when(a_end <= b_start, F.element_at(F.array(F.lit("before"), F.lit("meets")), sign(a_end, b_start) + 2))
+    gap = F.coalesce(gap, F.when(a_start >= b_end, F.element_at(F.array(F.lit("met_by"), F.lit("after")), sign(a_start, b_end) + 1)))
+    known = a_start.isNotNull() & a_end.isNotNull() & b_start.isNotNull() & b_end.isNotNull()
+    return F.when(known, F.coalesce(gap, inside))
 
 
 def merge_intervals(df: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
@@ -113,6 +127,27 @@ def temporal_paths(edges: DataFrame, source, target, max_edges: int = 4, orderin
     return done.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
 
+def time_cycles(edges: DataFrame, most: int = 7, gap_seconds: int | None = None) -> DataFrame:
+    """``path, n``: closed walks of at most ``most`` edges (``src, dst, start, end``), each edge beginning when the last one has ended or later.
+
+    As in sequence patterns, an edge is followed by the earliest one at its end node only (ties: the least node), so a
+    step gives at most one row for each walk. ``n`` counts the walks with the same nodes.
+    """
+    following = sequences(edges, gap_seconds if gap_seconds is not None else 1 << 40)
+    ends = edges.groupBy("src", "dst", "start").agg(F.min("end").alias("end"))
+    step = following.select("src", "dst", "start", "end", F.col("next_dst").alias("to"), F.col("next_start").alias("to_start"))
+    step = step.join(ends.select(F.col("src").alias("dst"), F.col("dst").alias("to"), F.col("start").alias("to_start"), F.col("end").alias("to_end")), ["dst", "to", "to_start"])
+    at = edges.select(F.array("src", "dst").alias("path"), F.col("src").alias("p_src"), F.col("dst").alias("p_dst"), F.col("start").alias("p_start"), F.col("end").alias("p_end"))
+    closed = None
+    for _ in range(most - 1):
+        hit = (F.col("p_src") == F.col("src")) & (F.col("p_dst") == F.col("dst")) & (F.col("p_start") == F.col("start")) & (F.col("p_end") == F.col("end"))
+        at = at.join(step, hit).select(F.concat("path", F.array("to")).alias("path"), F.col("dst").alias("p_src"), F.col("to").alias("p_dst"), F.col("to_start").alias("p_start"), F.col("to_end").alias("p_end"))
+        done = at.where(F.col("path")[0] == F.col("p_dst")).select("path")
+        closed = done if closed is None else closed.union(done)
+        at = cut(at.where((F.col("path")[0] != F.col("p_dst")) & (F.size(F.array_distinct("path")) == F.size("path"))))
+    return closed.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+
+
 def sequences(edges: DataFrame, gap_seconds: int) -> DataFrame:
     """Each edge with the earliest edge that starts at its end node within the gap after its end."""
     nxt = edges.select(F.col("src").alias("n_src"), F.col("dst").alias("n_dst"), F.col("start").alias("n_start"))

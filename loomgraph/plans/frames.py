@@ -81,3 +81,29 @@ def decisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 DECISIONS_SQL = """decisions AS (SELECT o_orderkey AS decision_id, o_orderpriority AS category, o_orderstatus AS outcome, o_custkey AS maker, o_orderdate AS ts, least(1.0, o_totalprice / 500000.0) AS confidence, 'order of customer ' || (o_custkey % 7) || ' ' || lower(o_orderpriority) AS scenario FROM orders)"""
+
+
+def near_graph(spark: SparkSession, d: str) -> Graph:
+    """Customers, each tied to the next one of its nation (in blocks of 1000 keys) and to the next richer one of its class of keys: a sparse graph with cycles that grows with the table."""
+    c = table(spark, d, "customer")
+    own = W.partitionBy("c_nationkey", F.floor(F.col("c_custkey") / 1000)).orderBy("c_custkey")
+    means = W.partitionBy(F.col("c_custkey") % 37).orderBy("c_acctbal", "c_custkey")
+    parts = [c.select(F.col("c_custkey").alias("src"), F.lead("c_custkey").over(w).alias("dst"), F.lit(kind).alias("type"), F.round(1 + F.abs(F.lead("c_acctbal").over(w) - F.col("c_acctbal")) / 1000, 3).alias("weight")) for kind, w in (("NEXT", own), ("RICHER", means))]
+    nodes = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("type"), F.col("c_name").alias("name"))
+    return Graph(nodes, parts[0].unionByName(parts[1]).where("dst IS NOT NULL"))
+
+
+NEAR_SQL = """nodes AS (SELECT c_custkey AS id, c_mktsegment AS type, c_name AS name FROM customer),
+edges AS MATERIALIZED (SELECT src, dst, type, round(1 + abs(b - a) / 1000, 3) AS weight FROM (SELECT c_custkey AS src, 'NEXT' AS type, c_acctbal AS a, lead(c_custkey) OVER w AS dst, lead(c_acctbal) OVER w AS b FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_custkey // 1000 ORDER BY c_custkey)
+UNION ALL SELECT c_custkey, 'RICHER', c_acctbal, lead(c_custkey) OVER w, lead(c_acctbal) OVER w FROM customer WINDOW w AS (PARTITION BY c_custkey % 37 ORDER BY c_acctbal, c_custkey)) WHERE dst IS NOT NULL),
+und AS MATERIALIZED (SELECT src, dst FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst)"""
+
+
+def handoffs(spark: SparkSession, d: str) -> DataFrame:
+    """Temporal edges: the user of an event to the user of the day's next event of its type, from the one's time to the other's."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    w = W.partitionBy("event_type", F.date_trunc("day", "ts")).orderBy("ts", "event_id")
+    return e.select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst"), F.col("event_type").alias("type"), F.col("ts").alias("start"), F.lead("ts").over(w).alias("end")).where("dst IS NOT NULL")
+
+
+HANDOFFS_SQL = """handoffs AS MATERIALIZED (SELECT * FROM (SELECT user_id AS src, lead(user_id) OVER w AS dst, event_type AS type, ts AS "start", lead(ts) OVER w AS "end" FROM events WINDOW w AS (PARTITION BY event_type, date_trunc('day', ts) ORDER BY ts, event_id)) WHERE dst IS NOT NULL)"""

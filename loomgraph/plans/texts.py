@@ -139,12 +139,6 @@ def chunk_packed_sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("pos", "chunk"))
 
 
-@query()
-def chunk_recursive(spark, d):
-    chunk = chunking.recursive_chunks(600, 50)
-    return table(spark, d, "documents").select("doc_id", F.explode(chunk("text")).alias("c")).select("doc_id", "c.idx", "c.start", "c.end")
-
-
 @query(r"""SELECT doc_id, line - 1 AS line, kind, sum(CASE WHEN kind = 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS section FROM (SELECT doc_id, line, CASE WHEN trim(x, ' ') = '' THEN 'blank' WHEN regexp_matches(x, '^#{1,6} ') THEN 'heading' WHEN regexp_matches(x, '^\s*([-*+]|\d+\.) ') THEN 'list' WHEN contains(x, '|') THEN 'table' WHEN starts_with(x, '```') THEN 'fence' ELSE 'paragraph' END AS kind
 FROM (SELECT doc_id, line, l[line] AS x FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))))""")
 def structural_blocks(spark, d):
