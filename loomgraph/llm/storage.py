@@ -41,8 +41,10 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def store(frame: DataFrame, label: str) -> Stored:
-    """Write ``frame`` to the shared folder and return the reread table."""
+    """Write ``frame`` to the shared folder and return the reread table; what isn't dropped before goes when the application ends."""
     spark = frame.sparkSession
     path = new_path(spark, label)
     frame.write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return Stored(spark.read.schema(frame.schema).parquet(path), path)

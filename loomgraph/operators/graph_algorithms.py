@@ -180,7 +180,7 @@ def a_star(edges: DataFrame, heuristic: DataFrame, source, target) -> DataFrame:
     return best.where(F.col("id") == F.lit(target)).select("path", "cost")
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 3, rounds: int = 4) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 2, rounds: int = 4) -> DataFrame:
     """``id, community``: Louvain's levels. Communities become nodes, the edges between them are kept, until nothing joins any more."""
     labels = louvain_level(nodes, edges, rounds)
     for _ in range(levels - 1):
@@ -193,7 +193,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 3, rounds: int = 4
     return labels
 
 
-def leiden(nodes: DataFrame, edges: DataFrame, levels: int = 3, rounds: int = 4) -> DataFrame:
+def leiden(nodes: DataFrame, edges: DataFrame, levels: int = 2, rounds: int = 4) -> DataFrame:
     """``id, community``: Louvain's communities, each parted into its connected pieces (named after their least node), which is what Leiden guarantees."""
     found = louvain(nodes, edges, levels, rounds)
     a, b = (found.select(F.col("id").alias(x), F.col("community").alias(f"c_{x}")) for x in ("src", "dst"))

@@ -168,4 +168,4 @@ def checkpoint_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     fields = sorted(c for c in old.columns if c != key)
     a, b = old.select(F.col(key).alias("ka"), checksum(fields).alias("ca")), new.select(F.col(key).alias("kb"), checksum(fields).alias("cb"))
     both = a.join(b, F.col("ka") == F.col("kb"), "full_outer")
-    return both.agg(F.count_if("ka IS NULL").alias("n_added"), F.count_if("kb IS NULL").alias("n_removed"), F.count_if("ca <> cb").alias("n_changed"), F.count_if("ca = cb").alias("n_same"))
+    return both.agg(F.count_if(F.col("ka").isNull()).alias("n_added"), F.count_if(F.col("kb").isNull()).alias("n_removed"), F.count_if(F.col("ca") != F.col("cb")).alias("n_changed"), F.count_if(F.col("ca") == F.col("cb")).alias("n_same"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.similarity import cosine, norm
+from loomgraph.storage import cut
 
 #: Bands of scores in which a ranked list is numbered.
 BANDS = 4096
@@ -35,6 +36,7 @@ def rank_lists(lists: dict[str, DataFrame], id_col: str = "id") -> DataFrame:
     their band, and the rows of the bands above are counted (at most ``BANDS`` counts a list, broadcast).
     """
     all_ = reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("list"), id_col, "score") for name, df in lists.items()))
+    all_ = cut(all_)  # three readers; the scores are worked out once
     ends = all_.groupBy("list").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     share = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
     banded = all_.join(F.broadcast(ends), "list").withColumn("band", F.when(F.col("score").isNull(), -1).otherwise(F.floor(share * (BANDS - 2)).cast("int"))).drop("lo", "hi")

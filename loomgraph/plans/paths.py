@@ -78,12 +78,6 @@ def temporal_cycles(spark, d):
     return T.time_cycles(handoffs(spark, d).where("type = 'purchase' AND src <> dst"), most=5, gap_seconds=86400)
 
 
-@query()
-def louvain_customers(spark, d):
-    g = near_graph(spark, d)
-    return G.louvain(g.nodes, g.edges)
-
-
 @query()
 def leiden_customers(spark, d):
     g = near_graph(spark, d)

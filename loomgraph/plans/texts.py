@@ -4,19 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.functions import numbers, text
+from loomgraph.functions import text
 from loomgraph.operators import chunking, extraction, records, retrieval
 from loomgraph.queries import query, table
 
 
-def _samples(spark, name: str, values: list[str]):
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(name))
-
-
-def _values(name: str, values: list[str]) -> str:
-    return f"(SELECT unnest([{', '.join(chr(39) + v.replace(chr(39), chr(39) * 2) + chr(39) for v in values)}]) AS {name})"
-
-
 @query(r"""SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\t', ' ', 'g'), '\r\n?', chr(10), 'g'), ' +', ' ', 'g'), '\n[ \n]*\n', chr(10) || chr(10), 'g'), '^[ \n]+', ''), '[ \n]+$', '')) AS norm FROM documents""")
 def text_normalize(spark, d):
     return table(spark, d, "documents").select("doc_id", F.lower(text.normalize_whitespace(F.col("text"))).alias("norm"))
@@ -27,9 +19,9 @@ def text_flat_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(text.flat_whitespace(F.col("text")), 256).alias("digest"))
 
 
-@query("SELECT doc_id, md5(strip_accents(text)) AS digest FROM documents WHERE lang IN ('de', 'fr', 'es')")
+@query("SELECT doc_id, md5(strip_accents(text)) AS digest FROM documents")
 def diacritics_strip(spark, d):
-    return table(spark, d, "documents").where("lang IN ('de', 'fr', 'es')").select("doc_id", F.md5(text.strip_diacritics("text").cast("binary")).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.strip_diacritics("text").cast("binary")).alias("digest"))
 
 
 @query("SELECT doc_id, nfc_normalize(text) = text AS is_nfc FROM documents")
@@ -68,55 +60,6 @@ def stopword_language(spark, d):
     return table(spark, d, "documents").select("doc_id", text.detect_language(F.col("text")).alias("found"))
 
 
-NUMBERS = ["1,234.5", "12%", "3.5K", "$2M", "1e3", "abc", "-7", "0.5B"]
-
-
-@query(f"""SELECT raw, TRY_CAST(regexp_replace(x, '[%KMBT]$', '') AS DOUBLE) * CASE right(x, 1) WHEN '%' THEN 0.01 WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'B' THEN 1e9 WHEN 'T' THEN 1e12 ELSE 1 END AS value FROM (SELECT raw, upper(regexp_replace(raw, '[,\\s$€£¥]', '', 'g')) AS x FROM {_values('raw', NUMBERS)})""")
-def number_parse(spark, d):
-    return _samples(spark, "raw", NUMBERS).select("raw", numbers.parse_number(F.col("raw")).alias("value"))
-
-
-QUANTITIES = ["12.5 km", "3 mile", "7cm", "1 yard", "5 kg"]
-
-
-@query(f"""SELECT raw, regexp_extract(raw, '^\\s*([-+]?[0-9]*\\.?[0-9]+)\\s*([A-Za-z]+)\\s*$', 1)::DOUBLE * CASE lower(regexp_extract(raw, '([A-Za-z]+)\\s*$', 1)) WHEN 'km' THEN 1000 WHEN 'mile' THEN 1609.34 WHEN 'cm' THEN 0.01 WHEN 'yard' THEN 0.9144 END AS metres FROM {_values('raw', QUANTITIES)}""")
-def unit_convert(spark, d):
-    q = _samples(spark, "raw", QUANTITIES).withColumn("q", numbers.parse_quantity(F.col("raw")))
-    return q.select("raw", numbers.convert_unit(F.col("q.value"), F.col("q.unit"), "m").alias("metres"))
-
-
-PRICES = ["$1,200.50", "EUR 30", "¥500", "12.99", "£7"]
-
-
-@query(f"""SELECT raw, replace(regexp_extract(raw, '([-+]?[0-9][0-9,]*\\.?[0-9]*)', 1), ',', '')::DOUBLE AS amount, CASE WHEN contains(raw, '$') THEN 'USD' WHEN contains(raw, '€') THEN 'EUR' WHEN contains(raw, '£') THEN 'GBP' WHEN contains(raw, '¥') THEN 'JPY' WHEN contains(upper(raw), 'EUR') THEN 'EUR' ELSE 'USD' END AS currency FROM {_values('raw', PRICES)}""")
-def currency_parse(spark, d):
-    return _samples(spark, "raw", PRICES).select("raw", numbers.parse_currency(F.col("raw")).alias("c")).select("raw", "c.amount", "c.currency")
-
-
-PHRASES = ["today", "yesterday", "3 days ago", "2 weeks from now", "1 month ago", "5 year later", "nonsense"]
-
-
-@query(f"""SELECT raw, (CASE WHEN raw = 'today' THEN DATE '2024-03-31' WHEN raw = 'yesterday' THEN DATE '2024-03-30' WHEN raw = '3 days ago' THEN DATE '2024-03-31' - INTERVAL 3 DAY WHEN raw = '2 weeks from now' THEN DATE '2024-03-31' + INTERVAL 14 DAY WHEN raw = '1 month ago' THEN DATE '2024-03-31' - INTERVAL 1 MONTH WHEN raw = '5 year later' THEN DATE '2024-03-31' + INTERVAL 5 YEAR ELSE DATE '2024-03-31' END)::DATE AS day FROM {_values('raw', PHRASES)}""")
-def relative_date(spark, d):
-    return _samples(spark, "raw", PHRASES).select("raw", numbers.relative_date(F.col("raw"), F.lit("2024-03-31").cast("date")).alias("day"))
-
-
-DATES = ["2024-02-29", "2024/03/01", "05.06.2023", "20240101", "not a date"]
-
-
-@query(f"""SELECT raw, coalesce(try_strptime(raw, '%Y-%m-%d'), try_strptime(raw, '%Y/%m/%d'), try_strptime(raw, '%d.%m.%Y'), try_strptime(raw, '%Y%m%d')) AS at FROM {_values('raw', DATES)}""")
-def date_normalize(spark, d):
-    return _samples(spark, "raw", DATES).select("raw", numbers.parse_date(F.col("raw")).alias("at"))
-
-
-PERIODS = ["2023", "2023-04", "Q3 2022", "2024-02-29", "soon"]
-
-
-@query(f"""SELECT raw, CASE raw WHEN '2023' THEN DATE '2023-01-01' WHEN '2023-04' THEN DATE '2023-04-01' WHEN 'Q3 2022' THEN DATE '2022-07-01' WHEN '2024-02-29' THEN DATE '2024-02-29' END AS lo, CASE raw WHEN '2023' THEN DATE '2024-01-01' WHEN '2023-04' THEN DATE '2023-05-01' WHEN 'Q3 2022' THEN DATE '2022-10-01' WHEN '2024-02-29' THEN DATE '2024-03-01' END AS hi FROM {_values('raw', PERIODS)}""")
-def temporal_phrase(spark, d):
-    return _samples(spark, "raw", PERIODS).select("raw", numbers.period_bounds(F.col("raw")).alias("b")).select("raw", F.col("b.start").alias("lo"), F.col("b.end").alias("hi"))
-
-
 @query("""SELECT doc_id, i // 400 AS idx, i AS "start", least(i + 500, length(text)) AS "end", substr(text, i + 1, 500) AS chunk FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(0, length(text) - 101), 400)) AS i FROM documents WHERE length(text) > 0)""")
 def chunk_fixed(spark, d):
     c = table(spark, d, "documents").select("doc_id", F.explode(chunking.fixed_chunks(F.col("text"), 500, 100)).alias("c"))
@@ -169,10 +112,10 @@ def cooccurrence_relations(spark, d):
     return pairs.groupBy("doc.conv_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"SELECT token, count(*) AS docs, sum(n) AS n FROM (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS token FROM documents) WHERE token <> '' GROUP BY ALL) GROUP BY token HAVING count(*) >= 20")
+@query(r"SELECT token, count(*) AS docs, sum(n) AS n FROM (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS token FROM documents) WHERE token <> '' GROUP BY ALL) GROUP BY token")
 def inverted_index_terms(spark, d):
     i = retrieval.inverted_index(table(spark, d, "documents"), "doc_id", "text")
-    return i.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n")).where("docs >= 20")
+    return i.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
 
 
 @query("SELECT doc_id, (contains(lower(text), 'license')::INT + contains(lower(text), 'the')::INT + contains(lower(text), 'email')::INT) / 3 AS score FROM documents WHERE contains(lower(text), 'license') OR contains(lower(text), 'the') OR contains(lower(text), 'email')")

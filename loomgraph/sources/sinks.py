@@ -66,6 +66,16 @@ def turtle(triples: DataFrame) -> DataFrame:
     return pairs.select(F.concat("s", F.lit("\n    "), body, F.lit(" .")).alias("value"))
 
 
+def rdfxml(edges: DataFrame, base: str) -> DataFrame:
+    """Lines of an RDF/XML document of edges (``part`` orders them; header and footer are parts -1 and 1)."""
+    esc = lambda c: F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    head = f'<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:n="{base}">'
+    ends = edges.sparkSession.range(1).select(F.inline(F.array(F.struct(F.lit(-1).alias("part"), F.lit(head).alias("value")), F.struct(F.lit(1).alias("part"), F.lit("</rdf:RDF>").alias("value")))))
+    name = F.regexp_replace("type", "[^A-Za-z0-9_]", "_")
+    said = F.format_string('<rdf:Description rdf:about="%s%s"><n:%s rdf:resource="%s%s"/></rdf:Description>', F.lit(base), esc("src"), name, F.lit(base), esc("dst"))
+    return ends.unionByName(edges.select(F.lit(0).alias("part"), said.alias("value")))
+
+
 def jsonld(nodes: DataFrame, base: str = "http://example.org/") -> DataFrame:
     return nodes.select(F.to_json(F.struct(F.concat(F.lit(base), F.col("id")).alias("@id"), F.col("type").alias("@type"), F.coalesce("name", "id").alias("label"))).alias("value"))
 

@@ -1,18 +1,24 @@
-"""Cutting lineage in iterative operators: reliable checkpoints in the folder the cluster shares."""
+"""Cutting lineage in iterative operators: tables in the folder the cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from the checkpoint folder (the session's; one of our own only where none is set)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """The same rows, read back from a table written to the shared folder; it goes when the application ends.
+
+    A reliable checkpoint would compute the rows twice, and keep the old plan's constraints, which grow in loops.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/loomgraph-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark) -> str:

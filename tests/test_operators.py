@@ -143,3 +143,55 @@ def test_empty_tables(spark):
     assert graph_algorithms.connected_components(nodes, edges).count() == 0
     assert graph_algorithms.pagerank(nodes, edges, iterations=2).count() == 0
     assert graph_algorithms.triangles(edges).count() == 0
+
+
+def one(spark, column):
+    return spark.range(1).select(column).first()[0]
+
+
+def test_number_and_date_texts(spark):
+    from loomgraph.functions import numbers as N
+
+    parsed = {"1,234.5": 1234.5, "12%": 0.12, "3.5K": 3500.0, "$2M": 2e6, "1e3": 1000.0, "abc": None, "-7": -7.0, "0.5B": 5e8}
+    assert {x: one(spark, N.parse_number(F.lit(x))) for x in parsed} == pytest.approx(parsed)
+    assert one(spark, N.convert_unit(F.lit(3.0), F.lit("mile"), "m")) == pytest.approx(4828.02)
+    assert one(spark, N.convert_unit(F.lit(5.0), F.lit("kg"), "m")) is None
+    assert [tuple(one(spark, N.parse_currency(F.lit(x)))) for x in ("$1,200.50", "EUR 30", "12.99")] == [(1200.5, "USD"), (30.0, "EUR"), (12.99, "USD")]
+    day = F.lit("2024-03-31").cast("date")
+    assert str(one(spark, N.relative_date(F.lit("1 month ago"), day))) == "2024-02-29"
+    assert one(spark, N.parse_date(F.lit("not a date"))) is None
+    assert one(spark, N.period_bounds(F.lit("soon")))[0] is None
+
+
+def test_leiden_parts_disconnected_communities_and_a_star(spark):
+    two = [(f"{c}{i}", f"{c}{j}") for c in "ab" for i in range(4) for j in range(i)]
+    nodes, edges = graph(spark, [*two, ("a0", "b0")])
+    found = {r.id: r.community for r in graph_algorithms.leiden(nodes, edges).collect()}
+    assert len({found[f"a{i}"] for i in range(4)}) == 1 and found["a1"] != found["b1"]
+    e = spark.createDataFrame([("s", "a", 1.0), ("s", "b", 4.0), ("a", "b", 1.0), ("b", "t", 1.0), ("a", "t", 9.0)], "src string, dst string, weight double")
+    bound = spark.createDataFrame([("a", 2.0), ("b", 1.0)], "id string, h double")
+    assert tuple(graph_algorithms.a_star(e, bound, "s", "t").first()) == (["s", "a", "b", "t"], 3.0)
+    assert graph_algorithms.a_star(e, bound, "t", "s").isEmpty()
+
+
+def test_rounds_that_run_out_are_an_error(spark):
+    _, edges = graph(spark, [(f"n{i}", f"n{i + 1}") for i in range(12)])
+    with pytest.raises(RuntimeError):
+        graph_algorithms.shortest_distances(edges, "n0", max_rounds=3)
+    assert graph_algorithms.shortest_distances(edges, "n0").count() == 13
+
+
+def test_recursive_chunks_prefer_coarse_ends_in_the_second_half(spark):
+    df = spark.createDataFrame([("aaaa bbbb\ncccc dddd eeee ffff",), ("x" * 25,), ("",), (None,)], "t string")
+    got = [[c.text for c in r[0]] for r in df.select(chunking.recursive_chunks(12, 0)("t")).collect()]
+    assert got == [["aaaa bbbb\n", "cccc dddd ", "eeee ffff"], ["x" * 12, "x" * 12, "x"], [], []]
+
+
+def test_ranks_across_bands(spark):
+    from loomgraph.operators import retrieval
+
+    scores = [(i, float(i % 7) if i % 11 else None) for i in range(60)]
+    df = spark.createDataFrame(scores, "id int, score double")
+    got = {r.id: r["rank"] for r in retrieval.rank_lists({"x": df}).collect()}
+    order = sorted(scores, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {i: k + 1 for k, (i, _) in enumerate(order)}
