@@ -110,9 +110,9 @@ def causal_loops(spark, d):
     return L.causal_loops(_causes(spark, d), 4)
 
 
-@query(f"WITH RECURSIVE {_CAUSES}, l AS MATERIALIZED (SELECT DISTINCT src, dst FROM causes WHERE recorded_at <= TIMESTAMP '2024-01-02 00:00:00'), w AS (SELECT 2::BIGINT AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM w JOIN l ON src = id WHERE depth < 4) SELECT id, min(depth) AS depth FROM w GROUP BY id HAVING min(depth) > 0")
+@query(f"WITH RECURSIVE {_CAUSES}, l AS MATERIALIZED (SELECT DISTINCT src, dst FROM causes WHERE recorded_at <= TIMESTAMP '2024-03-01 00:00:00'), w AS (SELECT 2::BIGINT AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM w JOIN l ON src = id WHERE depth < 4) SELECT id, min(depth) AS depth FROM w GROUP BY id HAVING min(depth) > 0")
 def causal_chain_at(spark, d):
-    return L.chain_at(_causes(spark, d), 2, F.lit("2024-01-02 00:00:00").cast("timestamp"), 4)
+    return L.chain_at(_causes(spark, d), 2, F.lit("2024-03-01 00:00:00").cast("timestamp"), 4)
 
 
 _STORE = "store AS (SELECT o_custkey AS id, o_totalprice AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, o_orderstatus = 'P' AS gone, 'ns' || (o_custkey % 3) AS namespace FROM orders)"
