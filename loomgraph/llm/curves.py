@@ -205,11 +205,12 @@ def nearest(
 
     placed = unique.select("h", "id", "v", "q").mapInArrow(dealt, f"block bigint, ask boolean, id {kind}, v array<{element}>")
     answers = placed.groupBy("block").applyInArrow(search, f"id {kind}, near {near}")
-    merged = answers.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k + 1).alias("near"))
-    held.append(store(merged, "ann-near"))
-    merged = held[-1].frame
+    # a vector is found by several curves and counts once; the limit acts before the shuffle too
+    found = answers.select("id", F.inline("near").alias("s", "rep")).groupBy("id", "rep").agg(F.min("s").alias("s"))
+    best = found.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("s", "rep"))).where(F.col("n") <= k + 1)
+    held.append(store(best.select("id", "s", "rep"), "ann-near"))
     # each found vector stands for its least ids
-    others = merged.select("id", F.explode("near").alias("n")).select("id", F.col("n.s").alias("s"), F.col("n.id").alias("rep"))
+    others = held[-1].frame
     others = others.join(unique.select(F.col("id").alias("rep"), "ids"), "rep")
     lists = others.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("s").alias("s"), i.alias("id")))))), 1, k + 1).alias("near"))
     asked = rows.where("q").select(F.col("id").alias("query_id"), "v").join(unique.select("id", "v"), "v").select("query_id", "id")
