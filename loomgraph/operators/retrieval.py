@@ -13,6 +13,8 @@ from loomgraph.storage import cut
 
 #: Bands of scores in which a ranked list is numbered.
 BANDS = 4096
+#: Most query vectors that are broadcast.
+BROADCAST_QUERIES = 20_000
 
 
 def search(vectors: DataFrame, query: list[float], k: int, *, where: Column | None = None, id_col: str = "id", vector_col: str = "vector", measure=cosine) -> DataFrame:
@@ -23,8 +25,13 @@ def search(vectors: DataFrame, query: list[float], k: int, *, where: Column | No
 
 
 def search_batch(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """``query_id, id, score, rank`` for a bounded set of queries (``query_id, query``), broadcast to the vectors' partitions."""
-    pairs = vectors.select(id_col, vector_col).crossJoin(F.broadcast(queries)).where(F.col("query_id") != F.col(id_col))
+    """``query_id, id, score, rank`` for a set of queries (``query_id, query``) against all vectors.
+
+    Up to ``BROADCAST_QUERIES`` queries are sent to the vectors' partitions, more are compared block by block; either way
+    partitions keep only ``k`` rows a query before the shuffle.
+    """
+    few = queries.count() <= BROADCAST_QUERIES
+    pairs = vectors.select(id_col, vector_col).crossJoin(F.broadcast(queries) if few else queries).where(F.col("query_id") != F.col(id_col))
     scored = pairs.select("query_id", id_col, cosine(F.col(vector_col), F.col("query")).alias("score"))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), id_col))).where(F.col("rank") <= k)
 
