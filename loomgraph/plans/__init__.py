@@ -1,3 +1,3 @@
 """Query plans over the standard tables; importing a module registers its queries."""
 
-from loomgraph.plans import graphs, inference, ledger, matching, paths, relational, resolution, rules, splitting, streams, temporal, texts, vectors  # noqa: F401
+from loomgraph.plans import graphs, hygiene, inference, ledger, matching, paths, relational, resolution, rules, splitting, streams, temporal, texts, vectors  # noqa: F401

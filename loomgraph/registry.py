@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -26,6 +27,24 @@ def names(task: str) -> list[str]:
     return sorted(n for t, n in _steps if t == task)
 
 
+def delays(attempts: int, first: float, policy: str = "exponential", most: float = 60.0) -> list[float]:
+    """Seconds to wait before each attempt but the first: ``fixed``, ``linear`` or ``exponential`` from ``first`` on, at most ``most``."""
+    grow = {"fixed": lambda k: 1, "linear": lambda k: k + 1, "exponential": lambda k: 2**k}[policy]
+    return [min(most, first * grow(k)) for k in range(attempts - 1)]
+
+
+def retrying(action: Callable[[], object], attempts: int = 3, first: float = 1.0, policy: str = "exponential", fatal: tuple = (ValueError, TypeError), sleep: Callable[[float], None] = time.sleep) -> object:
+    """The result of a driver-side action, such as a write, tried again after errors that aren't ``fatal``. Spark retries lost tasks itself."""
+    for wait in delays(attempts, first, policy):
+        try:
+            return action()
+        except fatal:
+            raise
+        except Exception:
+            sleep(wait)
+    return action()
+
+
 class Pipeline:
     """Named steps with dependencies; each gets the frames of the steps it names. Lazy until an action on the result."""
 

@@ -3,8 +3,9 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph import registry
 from loomgraph.functions import similarity, text
-from loomgraph.operators import chunking, extraction, graph_algorithms, reasoning, records, resolution, temporal
+from loomgraph.operators import chunking, extraction, graph_algorithms, hygiene, inference, reasoning, records, resolution, temporal
 from loomgraph.registry import Pipeline
 from loomgraph.sources import scans, sinks
 from loomgraph.sources.arrow_source import scan_arrow, scan_pages, write_arrow
@@ -195,3 +196,58 @@ def test_ranks_across_bands(spark):
     got = {r.id: r["rank"] for r in retrieval.rank_lists({"x": df}).collect()}
     order = sorted(scores, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert got == {i: k + 1 for k, (i, _) in enumerate(order)}
+
+
+def test_decode_falls_back(spark):
+    rows = [(1, "café".encode("latin-1")), (2, "café".encode()), (3, b"\xff\xfe" + "hö".encode("utf-16-le")), (4, b""), (5, None)]
+    df = spark.createDataFrame(rows, "id int, data binary")
+    found = {r["id"]: r["x"] and tuple(r["x"]) for r in df.select("id", hygiene.decode(F.col("data")).alias("x")).collect()}
+    assert found == {1: ("ISO-8859-1", False, "café"), 2: ("UTF-8", False, "café"), 3: ("UTF-16LE", True, "hö"), 4: ("UTF-8", False, ""), 5: None}
+
+
+def test_mail_headers_fold_and_end(spark):
+    raw = "From: ann\r\nSubject: Re: FW: Plans\r\n for May\r\nIn-Reply-To: <1>\r\n\r\nSubject: not this\r\n\r\nbye"
+    mail = hygiene.parse_mail(spark.createDataFrame([(raw,), ("Subject: alone",), (None,)], "raw string"))
+    found = [(r["sender"], r["thread"], r["reply_to"], r["body"]) for r in mail.orderBy(F.desc_nulls_last(F.length("raw"))).collect()]
+    assert found[0] == ("ann", "plans for may", "<1>", "Subject: not this\n\nbye")
+    assert found[1][:3] == (None, "alone", None) and found[2][:3] == (None, None, None)
+
+
+def test_clean_keeps_the_least_of_each_key(spark):
+    df = spark.createDataFrame([("a", 2, None), ("a", 1, None), ("b", 3, "x"), (" ", 4, "y")], "k string, n int, v string")
+    assert sorted(map(tuple, hygiene.clean(df, "k", ["k"], {"v": "none"}, "n").collect())) == [("a", 1, "none"), ("b", 3, "x")]
+
+
+def test_conclusions_need_all_premises_and_survive_cycles(spark):
+    facts = spark.createDataFrame([("p",), ("p",), ("q",)], "statement string")
+    rules = spark.createDataFrame([("r1", "s", "p"), ("r1", "s", "q"), ("r2", "t", "s"), ("r2", "t", "missing"), ("r3", "u", "s"), ("r4", "s", "u"), ("r0", "p", "u")], "rule_id string, conclusion string, premise string")
+    found = {tuple(r) for r in inference.conclusions(facts, rules).collect()}
+    assert found == {("p", 0, None), ("q", 0, None), ("s", 1, "r1"), ("u", 2, "r3")}
+    assert inference.conclusions(facts.limit(0), rules).isEmpty()
+
+
+def test_activations_hold_only_what_is_new(spark):
+    frame = lambda *rows: spark.createDataFrame(list(rows), "a0 string, a1 string")
+    old, new = {"e": frame(("a", "b"), ("b", "c"))}, {"e": frame(("c", "d"))}
+    found = inference.activations(old, new, "two(X, Z) :- e(X, Y), e(Y, Z).")
+    assert {(r["X"], r["Y"], r["Z"]) for r in found.collect()} == {("b", "c", "d")}
+
+
+def test_temporal_intent_without_a_date_is_empty(spark):
+    df = spark.createDataFrame([("who came before noon?",), ("sales since 2020-02-30 in May",)], "q string")
+    found = [tuple(r["t"]) for r in df.select(inference.temporal_intent(F.col("q")).alias("t")).collect()]
+    assert found == [(None, None, None, None, "who came before noon?"), ("since", None, None, None, "sales in May")]
+
+
+def test_retries_wait_and_give_up():
+    waits, left = [], [RuntimeError("lost"), RuntimeError("lost")]
+
+    def action():
+        if left:
+            raise left.pop()
+        return "done"
+
+    assert registry.retrying(action, attempts=3, first=1.0, sleep=waits.append) == "done" and waits == [1.0, 2.0]
+    assert registry.delays(4, 2.0, "linear", most=5.0) == [2.0, 4.0, 5.0]
+    with pytest.raises(ValueError):
+        registry.retrying(lambda: int("x"), sleep=waits.append)
