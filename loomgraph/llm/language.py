@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.batches import slices
 from loomgraph.llm.sampling import drawn, fold, rates, trimmed
 
 #: Hashed features; words in a chain (a longer text is several chains, all of which count).
@@ -292,8 +293,8 @@ def identify(docs: DataFrame, crf: Crf, *, folds: int = 3, held_out: int = 1, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value  # one object for all tasks of a worker, so its memo serves them all
         memo = m.__dict__.setdefault("memo", _Memo(m))
-        for b in batches:
-            langs, scores = zip(*predict(m, b.column(b.num_columns - 1).to_pylist(), memo), strict=True) if b.num_rows else ((), ())
+        for b in slices(batches):
+            langs, scores = zip(*predict(m, b.column(b.num_columns - 1).to_pylist(), memo), strict=True)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(f.name for f in fields), "lang_pred", "score"])
 
     out = docs.select(*(F.col(f.name) for f in fields), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).mapInArrow(run, schema)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.bpe_counts import SPLIT_PATTERN
+from loomgraph.llm.batches import slices
 from loomgraph.llm.storage import Stored, store
 
 CAPACITY = 2048
@@ -119,7 +120,7 @@ def _local(docs: DataFrame, encode, capacity: int, id_col: str, text_col: str, i
             return out
 
         enc = encode()
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(enc(text), np.uint32(0)).astype("<u4")
                 cut = len(ids) % capacity

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.batches import slices
 from loomgraph.llm.sampling import drawn, fold, rates, trimmed
 
 BUCKETS, DIM, WINDOW, WORST = 1 << 17, 8, 2, 4
@@ -261,7 +262,7 @@ def score_documents(docs: DataFrame, model: Model, *, folds: int = 5, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value  # one object for all tasks of a worker, so its memo serves them all
         memo = m.__dict__.get("memo") or m.__dict__.setdefault("memo", _Memo(m.weights))
-        for b in batches:
+        for b in slices(batches):
             scores = [m.score(t, memo) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], names=[*(f.name for f in fields), "score"])
 

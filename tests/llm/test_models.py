@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,13 @@ def test_one_class_or_none(spark, values):
     out = toxicity.toxicity(docs, labels).collect()
     assert len(out) == 30 and {r.predicted for r in out} == {values[0] if values else 0}
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_slices_keep_all_rows_in_order():
+    from loomgraph.llm.batches import slices
+
+    sizes = [0, 3, 7]
+    batches = [pa.RecordBatch.from_pydict({"x": pa.array(range(10 * k, 10 * k + n), pa.int64())}) for k, n in enumerate(sizes)]
+    cut = list(slices(iter(batches), 3))
+    assert [b.num_rows for b in cut] == [3, 3, 3, 1]
+    assert [x for b in cut for x in b.column(0).to_pylist()] == [x for b in batches for x in b.column(0).to_pylist()]
