@@ -30,6 +30,8 @@ SAMPLE, LEAST = 2400, 20
 LEXICON_COUNT, LEXICON_SHARE = 3, 0.8
 STEPS, BATCH, RATE, DECAY = 150, 192, 0.08, 1e-6
 MEMO_ENTRIES = 300_000
+#: Chains that are scored together.
+SCORED = 512
 #: Most letters of a word; a longer token is several words.
 LONGEST = 40
 UNDETERMINED = "und"
@@ -114,12 +116,12 @@ class Crf:
         ends = np.cumsum(sizes)
         starts = np.concatenate([np.arange(e - n, e, CHAIN) for e, n in zip(ends, sizes, strict=True)])
         lengths = np.minimum(CHAIN, ends[owner] - starts)
-        for at in range(0, len(starts), 4096):
-            s, n = starts[at : at + 4096], lengths[at : at + 4096]
+        for at in range(0, len(starts), SCORED):
+            s, n = starts[at : at + SCORED], lengths[at : at + SCORED]
             real = np.arange(CHAIN) < n[:, None]
             index = np.where(real, s[:, None] + np.arange(CHAIN), 0)
             gamma, _, _ = forward_backward(emit[index], self.trans, real)
-            np.add.at(total, owner[at : at + 4096], gamma.sum(axis=1))
+            np.add.at(total, owner[at : at + SCORED], gamma.sum(axis=1))
         return total
 
 
