@@ -20,6 +20,7 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
 
 
 def _jaro(s: str, t: str) -> float:
+    """Jaro with whole transpositions: an odd character out of order doesn't count (Winkler's definition, and DuckDB's)."""
     if s == t:
         return 1.0
     if not s or not t:
@@ -35,9 +36,9 @@ def _jaro(s: str, t: str) -> float:
     if not found:
         return 0.0
     other = [c for c, h in zip(t, hit, strict=True) if h]
-    half = sum(a != b for a, b in zip(found, other, strict=True)) / 2
+    swaps = sum(a != b for a, b in zip(found, other, strict=True)) // 2
     m = len(found)
-    return (m / len(s) + m / len(t) + (m - half) / m) / 3
+    return (m / len(s) + m / len(t) + (m - swaps) / m) / 3
 
 
 @pandas_udf(DoubleType())

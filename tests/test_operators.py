@@ -1,5 +1,6 @@
 import itertools
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,14 @@ def test_jaro_winkler_known_values(spark):
     assert [round(r[0], 4) for r in df.select(similarity.jaro_winkler("a", "b")).collect()] == [0.9611, 0.0, 0.0]
 
 
+def test_jaro_winkler_counts_whole_transpositions(spark):
+    names = [f"supplier#{i:09d}" for i in (12, 120, 201, 1230, 2310, 33077, 37303, 38758, 55537)]
+    pairs = [(a, b) for a in names for b in names if a < b]
+    found = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(similarity.jaro_winkler("a", "b")).collect()]
+    jaro = [duckdb.execute("SELECT jaro_similarity(?, ?)", p).fetchone()[0] for p in pairs]
+    assert found == pytest.approx([j + 0.4 * (1 - j) for j in jaro], abs=1e-12)
+
+
 def test_chunks_cover_the_text(spark):
     t = "word " * 300
     df = spark.createDataFrame([(t,), ("",), ("short",)], "t string")
