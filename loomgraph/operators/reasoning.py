@@ -125,6 +125,9 @@ def hypotheses(observations: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def recursive_closure(spark: SparkSession, edges: DataFrame, max_depth: int = 20) -> DataFrame:
-    """``src, dst``: pairs joined by a path of at most ``max_depth`` edges, as one recursive SQL query (``datalog`` gives the closure without a bound)."""
+    """``src, dst``: pairs joined by a path of at most ``max_depth`` edges, as one recursive SQL query (``datalog`` gives the closure without a bound).
+
+    ``LIMIT ALL`` lifts the session's bound on the rows of a recursion (a million by default).
+    """
     edges.select("src", "dst").createOrReplaceTempView("loomgraph_edges")
-    return spark.sql(f"WITH RECURSIVE c(src, dst, depth) AS (SELECT src, dst, 1 FROM loomgraph_edges UNION ALL SELECT c.src, e.dst, depth + 1 FROM c JOIN loomgraph_edges e ON c.dst = e.src WHERE depth < {max_depth}) SELECT DISTINCT src, dst FROM c")
+    return spark.sql(f"WITH RECURSIVE c(src, dst, depth) AS (SELECT src, dst, 1 FROM loomgraph_edges UNION ALL SELECT c.src, e.dst, depth + 1 FROM c JOIN loomgraph_edges e ON c.dst = e.src WHERE depth < {max_depth}) SELECT DISTINCT src, dst FROM (SELECT src, dst FROM c LIMIT ALL)")

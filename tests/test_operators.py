@@ -94,6 +94,16 @@ def test_jaro_winkler_counts_whole_transpositions(spark):
     assert found == pytest.approx([j + 0.4 * (1 - j) for j in jaro], abs=1e-12)
 
 
+def test_recursive_closure_passes_the_row_limit_of_recursions(spark):
+    edges = spark.range(1, 200).selectExpr("id AS src", "id DIV 2 AS dst")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        found = {tuple(r) for r in reasoning.recursive_closure(spark, edges, 20).collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert found == {(i, i >> k) for i in range(1, 200) for k in range(1, i.bit_length() + 1)}
+
+
 def test_chunks_cover_the_text(spark):
     t = "word " * 300
     df = spark.createDataFrame([(t,), ("",), ("short",)], "t string")
