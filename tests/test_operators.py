@@ -1,4 +1,5 @@
 import itertools
+import math
 
 import duckdb
 import pytest
@@ -104,6 +105,41 @@ def test_recursive_closure_passes_the_row_limit_of_recursions(spark):
     assert found == {(i, i >> k) for i in range(1, 200) for k in range(1, i.bit_length() + 1)}
 
 
+def test_link_scores_of_like_nodes_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(graph_algorithms, "PART_ROWS", 3)
+    pairs = [(f"h{i % 3}", f"leaf{i}") for i in range(30)] + [(h, f"twin{i}") for i in range(8) for h in ("h0", "h1")]
+    pairs += [("h0", "h1"), ("h1", "x"), ("x", "y"), ("y", "z"), ("z", "x"), ("z", "z"), ("y", "x"), ("p", "q")]
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    wanted = {}
+    for u, v in itertools.combinations(sorted(near), 2):
+        both = [len(near[w]) for w in near[u] & near[v]]
+        if both and v not in near[u]:
+            scores = sum(1 / (d * math.log(d)) for d in both), sum(1 / d for d in both)
+            wanted[u, v] = (len(both), len(both) / len(near[u] | near[v]), *scores, len(near[u]) * len(near[v]))
+    found = graph_algorithms.link_scores(graph(spark, pairs)[1]).collect()
+    assert len(found) == len(wanted)
+    for u, v, *scores in found:
+        assert scores == pytest.approx(wanted[u, v])
+
+
+def test_link_scores_shuffle_no_row_for_each_pair_of_leaves(spark):
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled() -> int:
+        sc.listenerBus().waitUntilEmpty()
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    edges = graph(spark, [("hub", f"leaf{i}") for i in range(300)])[1]
+    before = shuffled()
+    assert len(graph_algorithms.link_scores(edges).collect()) == 300 * 299 // 2
+    assert shuffled() - before < 10_000
+
+
 def test_chunks_cover_the_text(spark):
     t = "word " * 300
     df = spark.createDataFrame([(t,), ("",), ("short",)], "t string")
