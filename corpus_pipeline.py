@@ -38,6 +38,12 @@ def drop_without_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(COLUMNS)
 
 
+def _ids(frame: DataFrame, label: str) -> DataFrame:
+    """The ids, stored; marked for a broadcast up to a counted size, so that joins with them don't shuffle the texts."""
+    stored = store(frame, label).frame
+    return F.broadcast(stored) if stored.count() <= minhash.BROADCAST_IDS else stored
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one of least id.
 
@@ -47,9 +53,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     own = F.coalesce(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)).alias("own")
     keyed = docs.select(*COLUMNS, own)
-    gone = minhash.near_duplicates(keyed, words=5, percent=80, id_col="own").where("NOT kept").select("own").distinct()
+    gone = _ids(minhash.near_duplicates(keyed, words=5, percent=80, id_col="own").where("NOT kept").select("own").distinct(), "gone")
     left = keyed.join(gone, "own", "left_anti")
-    repeated = store(keyed.groupBy("own").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("own"), "repeated").frame
+    repeated = _ids(keyed.groupBy("own").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("own"), "repeated")
     once = left.join(repeated, "own", "left_anti").select(COLUMNS)
     return once.union(left.join(repeated, "own", "left_semi").dropDuplicates(["own", "text"]).select(COLUMNS))
 

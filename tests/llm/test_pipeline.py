@@ -43,6 +43,20 @@ def test_near_duplicates_against_brute_force(frames):
     assert want == {r.doc_id for r in frames[3].collect()}
 
 
+def test_near_duplicates_shuffle_no_texts_for_few_ids(spark, frames, monkeypatch):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = cp.drop_near_duplicates(spark, frames[2], SF)
+        assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(cp.minhash, "BROADCAST_IDS", 0)
+        many = cp.drop_near_duplicates(spark, frames[2], SF)
+        assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+        assert sorted(few.collect()) == sorted(many.collect()) == sorted(frames[3].collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def brute_fast(rows):
     """The brute-force components, of documents that share a shingle only."""
     by: dict = {}
