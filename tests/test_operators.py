@@ -140,6 +140,25 @@ def test_link_scores_shuffle_no_row_for_each_pair_of_leaves(spark):
     assert shuffled() - before < 10_000
 
 
+def test_link_scores_spread_pairs_without_a_join(spark, monkeypatch):
+    monkeypatch.setattr(graph_algorithms, "PART_ROWS", 16)
+    monkeypatch.setattr(graph_algorithms, "TASK_ROWS", 1000, raising=False)
+    found = graph_algorithms.link_scores(graph(spark, [("hub", f"leaf{i}") for i in range(200)])[1])
+    plan = found._jdf.queryExecution().executedPlan()
+    spread = plan.toString().split("Exchange")[0]
+    assert "Generate" in spread and "Join" not in spread
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 200 * 199 // 2 and max(tasks) < sum(tasks) / 4
+
+
+def test_link_scores_compile_only_the_inner_loop(spark):
+    found = graph_algorithms.link_scores(graph(spark, [("hub", f"leaf{i}") for i in range(50)])[1])
+    assert len(found.collect()) == 50 * 49 // 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    loops = [line for line in plan.split("== Initial Plan ==")[0].splitlines() if " Generate explode" in line]
+    assert ["*(" in line for line in loops] == [True, False]
+
+
 def test_chunks_cover_the_text(spark):
     t = "word " * 300
     df = spark.createDataFrame([(t,), ("",), ("short",)], "t string")
